@@ -1,9 +1,10 @@
 """Exact quantiles and distribution records that survive one huge group.
 
-``percentile``/``percentile_disc`` hold a group's distinct values in one task.
-That is right for ordinary groups; a group above ``hot_rows`` goes another exact
-way: a bounded sketch brackets each wanted rank, and only the values inside the
-bracket are counted and ranked.  The bracket is checked against exact counts.
+``percentile`` holds a group's distinct values in one task.  Here a group's
+values are first counted (equal values collapse map-side), cut into value
+segments by a fixed monotone function of the value itself, and the segment that
+holds a wanted rank follows from segment totals.  Only those segments are
+ranked, so no task sees more than one segment of one group.
 """
 
 from __future__ import annotations
@@ -18,11 +19,21 @@ from pyspark.sql import functions as F
 RECORD_QUANTILES = {"q01": 0.01, "q05": 0.05, "q25": 0.25, "median": 0.50, "q75": 0.75, "q95": 0.95, "q99": 0.99}
 QUARTILES = {"q1": 0.25, "median": 0.5, "q3": 0.75}
 
-HOT_ROWS = 5_000_000
-SKETCH_ACCURACY = 100_000
+RESOLUTION = 4096  # value segments per doubling of 1 + |value|
+COUNT = "_c"
 
 
-def _rank_bounds(n: Column, p: float, method: str) -> tuple[Column, Column, Column]:
+def value_segment(value: Column, resolution: float = RESOLUTION) -> Column:
+    """Monotone in the value, the same everywhere, and needs no pass over the data."""
+    return F.floor(F.signum(value) * F.log2(F.lit(1.0) + F.abs(value)) * F.lit(float(resolution))).cast("bigint")
+
+
+def value_counts(df: DataFrame, keys: Sequence[str], value: str, **sums: Column) -> DataFrame:
+    """(keys, value, _c, sums...): how often each value occurs, null included."""
+    return df.groupBy(*keys, value).agg(F.count(F.lit(1)).alias(COUNT), *[F.sum(c).alias(n) for n, c in sums.items()])
+
+
+def _ranks(n: Column, p: float, method: str) -> tuple[Column, Column, Column]:
     """1-based lower rank, upper rank and weight of the upper one."""
     if method == "nearest":
         rank = F.greatest(F.lit(1), F.ceil(F.lit(p) * n)).cast("bigint")
@@ -30,118 +41,91 @@ def _rank_bounds(n: Column, p: float, method: str) -> tuple[Column, Column, Colu
     if method == "rounded":
         rank = F.bround(F.lit(p) * (n - 1), 0).cast("bigint") + 1
         return rank, rank, F.lit(0.0)
-    pos = (n - 1) * F.lit(p)
-    return (F.floor(pos) + 1).cast("bigint"), (F.ceil(pos) + 1).cast("bigint"), pos - F.floor(pos)
+    if method == "linear":
+        pos = (n - 1) * F.lit(p)
+        return (F.floor(pos) + 1).cast("bigint"), (F.ceil(pos) + 1).cast("bigint"), pos - F.floor(pos)
+    raise ValueError(f"unknown quantile method: {method}")
 
 
-def _cold(df: DataFrame, keys: list[str], value: str, probs: Sequence[float], nearest: bool) -> DataFrame:
-    ps = ", ".join(f"{p}D" for p in probs)
-    expr = f"percentile_disc(array({ps})) WITHIN GROUP (ORDER BY `{value}`)" if nearest else f"percentile(`{value}`, array({ps}))"
-    return df.groupBy(*keys).agg(F.expr(expr).alias("_q"))
+def same_keys(a: DataFrame, b: DataFrame, keys: Sequence[str]) -> Column:
+    return reduce(lambda x, y: x & y, [a[k].eqNullSafe(b[k]) for k in keys])
 
 
-def _bracketed(
-    df: DataFrame, keys: list[str], value: str, probs: Sequence[float], method: str, accuracy: int, bounded: bool = True,
+def quantiles_of_counts(
+    counts: DataFrame, keys: Sequence[str], value: str, wanted: Mapping[str, tuple[float, str]], *,
+    extra: Sequence[Column] = (), resolution: float = RESOLUTION,
 ) -> DataFrame:
-    """Bracket by sketch, then rank only inside the brackets.
+    """One row per group: ``n`` (non-null values), the named quantiles, and ``extra`` aggregates.
 
-    ``bounded``: ``df`` holds hot groups only, so there are at most
-    rows / hot_rows of them and their brackets are small enough to broadcast.
+    ``counts`` is the output of ``value_counts``; ``wanted`` maps a name to
+    (probability, method): ``nearest`` is the observed value at rank ceil(p*n),
+    ``linear`` interpolates at position (n-1)*p, ``rounded`` takes the zero-based
+    index round(p*(n-1)), half to even.  ``extra`` aggregates over the value rows.
     """
-    small = F.broadcast if bounded else (lambda d: d)
-    v = F.col(value)
-    eps = 4.0 / accuracy
-    cuts = [c for p in probs for c in (max(0.0, p - eps), min(1.0, p + eps))]
-    brackets = df.groupBy(*keys).agg(
-        F.percentile_approx(v, cuts, accuracy).alias("_cuts"), F.count(v).alias("_n"))
-    rows = df.join(small(brackets), keys)
-    below = [F.sum((v < F.col("_cuts")[2 * i]).cast("bigint")).alias(f"_below{i}") for i in range(len(probs))]
-    counts = rows.groupBy(*keys).agg(F.first("_n").alias("_n"), *below)
-    hit = F.array(*[
-        F.when((v >= F.col("_cuts")[2 * i]) & (v <= F.col("_cuts")[2 * i + 1]), F.lit(i)) for i in range(len(probs))
-    ])
+    keys = list(keys)
+    v, c = F.col(value), F.col(COUNT)
+    stats = counts.groupBy(*keys).agg(F.coalesce(F.sum(F.when(v.isNotNull(), c)), F.lit(0)).alias("n"), *extra)
+    seen = counts.where(v.isNotNull()).select(*keys, v.cast("double").alias("_v"), COUNT)
+    seen = seen.withColumn("_vs", value_segment(F.col("_v"), resolution))
+    whole = Window.partitionBy(*keys)
+    totals = seen.groupBy(*keys, "_vs").agg(F.sum(COUNT).alias("_t")).select(
+        *keys, "_vs", F.sum("_t").over(whole).alias("_n"),
+        F.sum("_t").over(whole.orderBy("_vs").rowsBetween(Window.unboundedPreceding, 0)).alias("_end"), "_t")
+    bounds = {name: _ranks(F.col("_n"), p, m) for name, (p, m) in wanted.items()}
+    begin = F.col("_end") - F.col("_t")
+    holds = F.exists(F.array(*[r for lo, hi, _ in bounds.values() for r in (lo, hi)]),
+                     lambda r: (r > begin) & (r <= F.col("_end")))
+    targets = totals.where(holds).select(*keys, "_vs", "_n", begin.alias("_begin"))
+    inside = Window.partitionBy(*[seen[k] for k in keys], seen["_vs"]).orderBy("_v").rowsBetween(Window.unboundedPreceding, 0)
     ranked = (
-        rows.select(*keys, v.alias("_v"), F.explode(F.array_compact(hit)).alias("_p"))
-        .groupBy(*keys, "_p", "_v").agg(F.count(F.lit(1)).alias("_c"))
-        .withColumn("_upto", F.sum("_c").over(
-            Window.partitionBy(*keys, "_p").orderBy("_v").rowsBetween(Window.unboundedPreceding, 0)))
-    )
-    wanted = counts.select(*keys, F.explode(F.array(*[
-        F.struct(F.lit(i).alias("_p"), F.col(f"_below{i}").alias("_below"),
-                 *[c.alias(a) for c, a in zip(_rank_bounds(F.col("_n"), p, method), ("_lo", "_hi", "_w"))])
-        for i, p in enumerate(probs)
-    ])).alias("_want")).select(*keys, "_want.*")
-    found = (
-        ranked.join(small(wanted), [*keys, "_p"])
-        .withColumn("_upto", F.col("_upto") + F.col("_below"))
-        .groupBy(*keys, "_p").agg(
-            F.min(F.when(F.col("_upto") >= F.col("_lo"), F.col("_v"))).alias("_vlo"),
-            F.min(F.when(F.col("_upto") >= F.col("_hi"), F.col("_v"))).alias("_vhi"),
-            F.first("_w").alias("_w"), F.first("_below").alias("_below"), F.first("_lo").alias("_lo"))
-        .withColumn("_x", F.when(
-            F.col("_vhi").isNull() | (F.col("_below") >= F.col("_lo")),
-            F.raise_error(F.lit("quantile rank left its bracket")).cast("double"),
-        ).otherwise(F.col("_vlo") + F.col("_w") * (F.col("_vhi") - F.col("_vlo"))))
+        seen.join(targets, (seen["_vs"] == targets["_vs"]) & same_keys(seen, targets, keys))
+        .select(*[seen[k] for k in keys], "_v", "_n", (F.col("_begin") + F.sum(COUNT).over(inside)).alias("_upto"))
     )
-    return found.groupBy(*keys).agg(F.array(*[
-        F.max(F.when(F.col("_p") == i, F.col("_x"))) for i in range(len(probs))
-    ]).alias("_q"))
+    at = {}
+    for name, (lo, hi, w) in bounds.items():
+        low, high = (F.min(F.when(F.col("_upto") >= r, F.col("_v"))) for r in (lo, hi))
+        at[name] = low if wanted[name][1] != "linear" else low + F.max(w) * (high - low)
+    found = ranked.groupBy(*keys).agg(*[x.alias(name) for name, x in at.items()])
+    return stats.join(found, same_keys(stats, found, keys), "left").select(
+        *[stats[k] for k in keys], *[stats[x] for x in stats.columns if x not in keys], *[found[x] for x in wanted])
 
 
 def exact_quantiles(
     df: DataFrame, keys: Sequence[str], value: str, probs: Mapping[str, float], *,
-    method: str = "nearest", extra: Sequence[Column] = (), hot_rows: int = HOT_ROWS, accuracy: int = SKETCH_ACCURACY,
+    method: str = "nearest", extra: Sequence[Column] = (), resolution: float = RESOLUTION,
 ) -> DataFrame:
-    """``keys``, ``n`` (non-null values), the named quantiles and any ``extra`` aggregates.
+    """Quantiles of raw rows; ``extra`` aggregates see one row per distinct value with its count ``_c``.
 
-    ``method`` is ``nearest`` (observed value at rank ceil(p*n)) or ``linear``
-    (position (n-1)*p).  Null values are ignored; groups without any value keep
-    their row with null quantiles.
+    Without ``keys`` the whole table is one group.
     """
-    if method not in ("nearest", "linear"):
-        raise ValueError(f"unknown quantile method: {method}")
-    nearest = method == "nearest"
-    keys = list(keys)
+    wanted = {name: (p, method) for name, p in probs.items()}
     if not keys:
-        whole = df.withColumn("_all", F.lit(0))
-        return exact_quantiles(whole, ["_all"], value, probs, method=method, extra=extra,
-                               hot_rows=hot_rows, accuracy=accuracy).drop("_all")
-    ps = list(probs.values())
-    stats = df.groupBy(*keys).agg(F.count(F.col(value)).alias("n"), *extra)
-    hot = F.broadcast(stats.where(F.col("n") > hot_rows).select(*keys))
-    slim = df.select(*keys, value).where(F.col(value).isNotNull())
-    same = reduce(lambda a, b: a & b, [slim[k].eqNullSafe(hot[k]) for k in keys])
-    cold = _cold(slim.join(hot, same, "left_anti"), keys, value, ps, nearest)
-    warm = _bracketed(slim.join(hot, same, "left_semi"), keys, value, ps, method, accuracy)
-    found = cold.unionByName(warm)
-    joined = reduce(lambda a, b: a & b, [stats[k].eqNullSafe(found[k]) for k in keys])
-    return stats.join(found, joined, "left").select(
-        *[stats[k] for k in keys], *[stats[c] for c in stats.columns if c not in keys],
-        *[F.col("_q")[i].alias(name) for i, name in enumerate(probs)])
-
-
-def distribution(df: DataFrame, keys: Sequence[str], value: str, *, probs: Mapping[str, float] = RECORD_QUANTILES, hot_rows: int = HOT_ROWS) -> DataFrame:
-    """Distribution record: available, missing, minimum, nearest-rank quantiles, maximum (finite values)."""
+        one = df.select(F.lit(0).alias("_all"), value)
+        return quantiles_of_counts(value_counts(one, ["_all"], value), ["_all"], value, wanted, extra=extra, resolution=resolution).drop("_all")
+    return quantiles_of_counts(value_counts(df, keys, value), keys, value, wanted, extra=extra, resolution=resolution)
+
+
+def distribution(df: DataFrame, keys: Sequence[str], value: str, probs: Mapping[str, float] = RECORD_QUANTILES) -> DataFrame:
+    """Distribution record of the finite values: available, missing, minimum, nearest-rank quantiles, maximum."""
     v = F.col(value).cast("double")
     ok = v.isNotNull() & ~F.isnan(v) & (F.abs(v) != F.lit(float("inf")))
     clean = df.withColumn("_x", F.when(ok, v))
-    out = exact_quantiles(clean, keys, "_x", probs, hot_rows=hot_rows, extra=[
-        (F.count(F.lit(1)) - F.count("_x")).alias("missing_count"),
-        F.min("_x").alias("minimum"), F.max("_x").alias("maximum")])
-    return out.withColumnRenamed("n", "available_count")
+    return exact_quantiles(clean, keys, "_x", probs, extra=[
+        F.coalesce(F.sum(F.when(F.col("_x").isNull(), F.col(COUNT))), F.lit(0)).alias("missing_count"),
+        F.min("_x").alias("minimum"), F.max("_x").alias("maximum")]).withColumnRenamed("n", "available_count")
 
 
-def moments(df: DataFrame, keys: Sequence[str], value: str, *, hot_rows: int = HOT_ROWS) -> DataFrame:
-    """n, mean, sample SD (0 for one value), min, quartiles (linear), max."""
-    return exact_quantiles(df, keys, value, QUARTILES, method="linear", hot_rows=hot_rows, extra=[
-        F.avg(value).alias("mean"), F.coalesce(F.stddev_samp(value), F.lit(0.0)).alias("sd"),
-        F.min(value).alias("minimum"), F.max(value).alias("maximum")])
+def moments(df: DataFrame, keys: Sequence[str], value: str) -> DataFrame:
+    """n, mean, sample SD (0 for one value), minimum, quartiles (linear), maximum.
 
-
-def rounded_index_quantile(df: DataFrame, keys: Sequence[str], value: str, p: float = 0.9, accuracy: int = SKETCH_ACCURACY) -> DataFrame:
-    """Value at zero-based index round(p*(n-1)), half to even; no built-in matches, so every group is bracketed."""
+    Mean and SD come straight from the rows: ``avg`` and ``stddev_samp`` combine
+    map-side and stay numerically stable.
+    """
     keys = list(keys)
-    slim = df.select(*keys, value).where(F.col(value).isNotNull())
-    n = slim.groupBy(*keys).agg(F.count(F.lit(1)).alias("n"))
-    found = _bracketed(slim, keys, value, [p], "rounded", accuracy, bounded=False)
-    return n.join(found, keys).select(*keys, "n", F.col("_q")[0].alias("value"))
+    q = exact_quantiles(df, keys, value, QUARTILES, method="linear").drop("n")
+    s = df.groupBy(*keys).agg(
+        F.count(value).alias("n"), F.avg(value).alias("mean"), F.coalesce(F.stddev_samp(value), F.lit(0.0)).alias("sd"),
+        F.min(value).alias("minimum"), F.max(value).alias("maximum"))
+    if not keys:
+        return s.crossJoin(q)  # one row each
+    return s.join(q, same_keys(s, q, keys)).select(*[s[c] for c in s.columns], *[q[c] for c in QUARTILES])

@@ -30,12 +30,24 @@ def segmented(df: DataFrame, order: str, span: float = SPAN) -> DataFrame:
     return df.withColumn(SEG, segment_of(order, span))
 
 
+def fits_broadcast(df: DataFrame) -> bool:
+    """Whether Catalyst's size estimate of ``df`` is below the session's broadcast threshold (no job runs)."""
+    limit = df.sparkSession.conf.get("spark.sql.autoBroadcastJoinThreshold", "10MB")
+    limit = df.sparkSession._jvm.org.apache.spark.network.util.JavaUtils.byteStringAsBytes(limit) if limit != "-1" else -1
+    size = df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()
+    return int(size) <= int(limit)
+
+
 def attach(df: DataFrame, small: DataFrame, on: Sequence[str], keys: Sequence[str], how: str = "inner") -> DataFrame:
-    """Join one-row-per-``on`` attributes to segmented rows without meeting at ``on``.
+    """Join one-row-per-``on`` attributes to segmented rows without a hot key meeting in one task.
 
-    The attributes are first spread over the segments that exist (``distinct`` is
-    combined map-side), then joined on key and segment.
+    A side whose estimated size is below the broadcast threshold is broadcast.
+    Otherwise the attributes are spread over the segments that exist
+    (``distinct`` combines map-side) and joined on key and segment, which is the
+    partitioning the segment windows need anyway.
     """
+    if fits_broadcast(small):
+        return df.join(F.broadcast(small), list(on), how)
     segs = df.select(*keys, SEG).distinct()
     spread = segs.join(small, list(on), how)
     return df.join(spread, [*keys, SEG], how)

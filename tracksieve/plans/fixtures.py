@@ -6,6 +6,8 @@ oracle.  ``FixtureSet`` reads parquet lazily; nothing is cached or collected.
 
 from __future__ import annotations
 
+from functools import lru_cache
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -22,7 +24,9 @@ PRIMARY = (SIG, RATE_A, RATE_B)
 CONDITIONS = ("P0S0", "P1S0", "P0S1", "P1S1")
 
 
+@lru_cache(maxsize=64)
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    """The (lazy) scan of one driver table; remembered so its footer is read once per session."""
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
