@@ -122,10 +122,10 @@ def moments(df: DataFrame, keys: Sequence[str], value: str) -> DataFrame:
     map-side and stay numerically stable.
     """
     keys = list(keys)
+    if not keys:
+        return moments(df.select(F.lit(0).alias("_all"), value), ["_all"], value).drop("_all")
     q = exact_quantiles(df, keys, value, QUARTILES, method="linear").drop("n")
     s = df.groupBy(*keys).agg(
         F.count(value).alias("n"), F.avg(value).alias("mean"), F.coalesce(F.stddev_samp(value), F.lit(0.0)).alias("sd"),
         F.min(value).alias("minimum"), F.max(value).alias("maximum"))
-    if not keys:
-        return s.crossJoin(q)  # one row each
     return s.join(q, same_keys(s, q, keys)).select(*[s[c] for c in s.columns], *[q[c] for c in QUARTILES])

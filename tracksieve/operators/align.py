@@ -15,7 +15,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tracksieve.functions.columns import is_finite
-from tracksieve.operators.ordered import SEG, segment_of
+from tracksieve.operators.ordered import SEG, segment_of, spread_join
 
 GRID_SPAN = 4096
 EPS_GRID = 1e-12
@@ -39,9 +39,8 @@ class Lookup:
 
 
 def in_window(signal: DataFrame, cases: DataFrame) -> DataFrame:
-    """Rows inside their case window.  Spark broadcasts ``cases`` below its size threshold
-    and otherwise splits skewed partitions of this join (no operator follows in the stage)."""
-    return signal.join(cases, "caseid").where(F.col("t").between(F.col("w0"), F.col("w1")))
+    """Rows inside their case window."""
+    return spread_join(signal, cases, ["caseid"], "seq").where(F.col("t").between(F.col("w0"), F.col("w1")))
 
 
 def dedupe_last_finite(signal: DataFrame, cases: DataFrame) -> DataFrame:
@@ -65,7 +64,7 @@ def index_counters(signal_with_prev: DataFrame, cases: DataFrame) -> DataFrame:
         F.count(F.lit(1)).alias("original_row_count"),
         F.count_if(d == 0).alias("zero_interval_count"), F.count_if(d < 0).alias("negative_interval_count"))
     at = (
-        signal_with_prev.join(cases, "caseid").where(inside).groupBy("caseid", "track", "t")
+        spread_join(signal_with_prev, cases, ["caseid"], "seq").where(inside).groupBy("caseid", "track", "t")
         .agg(F.count(F.lit(1)).alias("_n"), F.count_if(is_finite("v")).alias("_f"))
         .groupBy("caseid", "track")
         .agg(F.sum("_f").alias("finite_row_count"), F.sum(F.col("_n") - 1).alias("duplicate_timestamp_count"))
@@ -140,7 +139,7 @@ def align_grid(
     """
     tracks = sorted({x.track for x in lookups} | {x.quality_track for x in lookups if x.quality_track})
     rows = (
-        signal.where(F.col("track").isin(*tracks)).join(bounds, "caseid")
+        spread_join(signal.where(F.col("track").isin(*tracks)), bounds, ["caseid"], "seq")
         .where(F.col("t").between(F.col("w0"), F.col("w1")))
         .withColumn("slot", slot_of(F.col("t"), F.col("w0"), step))
         .where(F.col("slot") <= F.col("hi"))

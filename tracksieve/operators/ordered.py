@@ -53,6 +53,39 @@ def attach(df: DataFrame, small: DataFrame, on: Sequence[str], keys: Sequence[st
     return df.join(spread, [*keys, SEG], how)
 
 
+def spread_join(big: DataFrame, small: DataFrame, on: Sequence[str], by: str | Column, how: str = "inner", salts: int = 16) -> DataFrame:
+    """Join one-row-per-``on`` attributes to rows that may pile up on one key.
+
+    Broadcast below the size threshold; otherwise every key is split into
+    ``salts`` parts by the hash of ``by`` and the small side repeated per part.
+    """
+    if fits_broadcast(small):
+        return big.join(F.broadcast(small), list(on), how)
+    salted = big.withColumn("_salt", F.pmod(F.xxhash64(by), F.lit(salts)))
+    parts = small.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1)).cast("array<bigint>")))
+    return salted.join(parts, [*on, "_salt"], how).drop("_salt")
+
+
+def ranked(df: DataFrame, keys: Sequence[str], order: Sequence[str | Column], out: str = "rank") -> DataFrame:
+    """Add the 1-based rank within a key for rows whose ``_seg`` grows with ``order``.
+
+    Ranks run inside (key, segment) on top of the row counts of the segments before.
+    """
+    keys = list(keys)
+    before = Window.partitionBy(*keys).orderBy(SEG).rowsBetween(Window.unboundedPreceding, -1)
+    sizes = df.groupBy(*keys, SEG).agg(F.count(F.lit(1)).alias("_n"))
+    offsets = sizes.select(*keys, SEG, F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_before"))
+    local = F.row_number().over(Window.partitionBy(*keys, SEG).orderBy(*order))
+    return df.withColumn("_local", local).join(offsets, [*keys, SEG]).withColumn(
+        out, F.col("_before") + F.col("_local")).drop("_before", "_local")
+
+
+def hash_segment(hex_hash: str | Column, digits: int = 4) -> Column:
+    """Segment of a hexadecimal hash by its leading digits: equal shares, and ordered like the hash."""
+    h = F.col(hex_hash) if isinstance(hex_hash, str) else hex_hash
+    return F.conv(F.substring(h, 1, digits), 16, 10).cast("bigint")
+
+
 def previous_row(df: DataFrame, keys: Sequence[str], order: str, fields: Sequence[str], out: str = "prev") -> DataFrame:
     """Add struct ``out`` with ``fields`` of the row before, null on a key's first row."""
     keys = list(keys)
