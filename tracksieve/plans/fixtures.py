@@ -100,17 +100,15 @@ def tracks(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def metrics_long(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """(caseid, subjectid, condition_id, m1..m5) per lineitem row group."""
+    """(caseid, subjectid, condition_id, m1..m5): part as case, five parts as subject, flags as condition."""
     li = table(spark, sf_dir, "lineitem").where(F.col("l_returnflag").isin("A", "R"))
-    s = table(spark, sf_dir, "supplier").select("s_suppkey", F.col("s_nationkey").cast("bigint").alias("subjectid"))
     cond = F.concat(F.when(F.col("l_returnflag") == "A", "P0").otherwise("P1"),
                     F.when(F.col("l_linestatus") == "F", "S0").otherwise("S1"))
-    g = li.groupBy(F.col("l_suppkey").alias("caseid"), cond.alias("condition_id")).agg(
+    g = li.groupBy(F.col("l_partkey").alias("caseid"), cond.alias("condition_id")).agg(
         F.avg("l_quantity").alias("m1"), F.avg("l_extendedprice").alias("m2"), F.avg("l_discount").alias("m3"),
         F.max("l_quantity").alias("m4"), F.sum("l_tax").alias("m5"))
-    return g.join(s, g.caseid == s.s_suppkey).select(
-        "caseid", "subjectid", "condition_id",
-        *[F.round(m, 4).alias(m) for m in ("m1", "m2", "m3", "m4", "m5")])
+    return g.select("caseid", F.floor(F.col("caseid") / 5).alias("subjectid"), "condition_id",
+                    *[F.round(m, 7).alias(m) for m in ("m1", "m2", "m3", "m4", "m5")])
 
 
 METRICS = ("m1", "m2", "m3", "m4", "m5")
@@ -148,11 +146,10 @@ CTES: dict[str, tuple[tuple[str, ...], str]] = {
         FROM orders JOIN customer ON o_custkey=c_custkey WHERE o_orderstatus='F' AND o_orderpriority='1-URGENT'"""),
     "tk": ((), """SELECT l_orderkey AS caseid, p_brand AS tname, l_linenumber::VARCHAR AS tid
         FROM lineitem JOIN part ON l_partkey=p_partkey"""),
-    "mx": ((), """SELECT l_suppkey AS caseid, s_nationkey::BIGINT AS subjectid,
+    "mx": ((), """SELECT l_partkey AS caseid, l_partkey//5 AS subjectid,
         (CASE WHEN l_returnflag='A' THEN 'P0' ELSE 'P1' END)||(CASE WHEN l_linestatus='F' THEN 'S0' ELSE 'S1' END) AS condition_id,
-        round(avg(l_quantity),4) AS m1, round(avg(l_extendedprice),4) AS m2, round(avg(l_discount),4) AS m3,
-        round(max(l_quantity),4) AS m4, round(sum(l_tax),4) AS m5
-        FROM lineitem JOIN supplier ON l_suppkey=s_suppkey WHERE l_returnflag IN ('A','R') GROUP BY 1,2,3"""),
+        round(avg(l_quantity),7) AS m1, round(avg(l_extendedprice),7) AS m2, round(avg(l_discount),7) AS m3,
+        round(max(l_quantity),7) AS m4, round(sum(l_tax),7) AS m5 FROM lineitem WHERE l_returnflag IN ('A','R') GROUP BY 1,2,3"""),
     # last finite row per timestamp inside the window, with the duplicate flag
     "dd": (("sgq", "cs"), """SELECT s.caseid, track, t,
         arg_max(v, seq) FILTER (WHERE v IS NOT NULL AND isfinite(v)) AS v, count(*)>1 AS dup

@@ -18,9 +18,9 @@ EVIDENCE_TRACKS = (fx.EXP, fx.RATE_A, fx.RATE_B, fx.SIG)
 GROUPS = {"agent": (fx.EXP,), "support": (fx.RATE_A, fx.RATE_B)}
 
 
-def _r(df: DataFrame) -> DataFrame:
+def _r(df: DataFrame, digits: int = 6) -> DataFrame:
     """Round every double for comparison."""
-    return df.select(*[r6(c).alias(c) if t == "double" else F.col(c) for c, t in df.dtypes])
+    return df.select(*[r6(c, digits).alias(c) if t == "double" else F.col(c) for c, t in df.dtypes])
 
 
 def rows(spark: SparkSession, d: str, *, nan: bool = True, quality: bool = False, inverted: bool = False) -> DataFrame:
