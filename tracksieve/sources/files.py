@@ -15,13 +15,15 @@ from pyspark.sql import types as T
 from tracksieve.functions.columns import is_finite, strict_bool
 
 
-def read_snapshot(spark: SparkSession, path: str, columns: Sequence[str]) -> DataFrame:
+def read_snapshot(spark: SparkSession, path: str, columns: Sequence[str], multiline: bool = False) -> DataFrame:
     """CSV with header, every cell as text (gzip by suffix, byte order mark ignored); empty cells are empty text.
 
     The header is checked against ``columns``: a different one fails the read.
+    ``multiline`` allows line breaks inside cells, at the price of unsplittable files.
     """
     schema = T.StructType([T.StructField(c, T.StringType()) for c in columns])
-    return spark.read.schema(schema).options(header="true", enforceSchema="false", mode="FAILFAST", emptyValue="", nullValue="\u0000", multiLine="true").csv(path)
+    return spark.read.schema(schema).options(
+        header="true", enforceSchema="false", mode="FAILFAST", emptyValue="", nullValue="\u0000", escape='"', multiLine=str(multiline).lower()).csv(path)
 
 
 def snapshot_stats(spark: SparkSession, path: str) -> DataFrame:
