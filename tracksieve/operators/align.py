@@ -15,7 +15,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tracksieve.functions.columns import is_finite
-from tracksieve.operators.ordered import SEG, segment_of, spread_join
+from tracksieve.operators.ordered import SEG, dense_rows, segment_of, spread_join
 
 GRID_SPAN = 4096
 EPS_GRID = 1e-12
@@ -113,10 +113,8 @@ def grid_bounds(spans: DataFrame, step: float) -> DataFrame:
 
 def grid_points(bounds: DataFrame, step: float) -> DataFrame:
     """(caseid, slot, g, k, n): one row per grid point; k counts from 0, n points in all."""
-    return bounds.select(
-        "caseid", "w0", (F.col("hi") - F.col("lo") + 1).alias("n"), "lo",
-        F.explode(F.sequence("lo", "hi")).alias("slot"),
-    ).select("caseid", "slot", (F.col("w0") + F.col("slot") * F.lit(step)).alias("g"),
+    return dense_rows(bounds, "caseid", F.col("lo"), F.col("hi"), "slot", GRID_SPAN).withColumn(
+        "n", F.col("hi") - F.col("lo") + 1).select("caseid", "slot", (F.col("w0") + F.col("slot") * F.lit(step)).alias("g"),
              (F.col("slot") - F.col("lo")).alias("k"), "n")
 
 
@@ -145,15 +143,16 @@ def align_grid(
         .where(F.col("slot") <= F.col("hi"))
         .select("caseid", "slot", "track", "seq", "t", "v")
     )
-    marks = bounds.select("caseid", F.explode(F.sequence("lo", "hi")).alias("slot"),
-                          F.lit(None).cast("string").alias("track"), F.lit(None).cast("bigint").alias("seq"),
-                          F.lit(None).cast("double").alias("t"), F.lit(None).cast("double").alias("v"))
-    first, last = segment_of(F.col("slot") - after, span), segment_of(F.col("slot") + before, span)
+    rows = rows.withColumn(SEG, F.explode(F.sequence(segment_of(F.col("slot") - after, span), segment_of(F.col("slot") + before, span))))
+    segs = bounds.select("caseid", "w0", "lo", "hi", F.explode(F.sequence(
+        segment_of(F.col("lo") - after, span), segment_of(F.col("hi") + before, span))).alias(SEG))
+    # A segment travels as one mark and becomes its grid points only after the shuffle.
+    first, last = F.greatest(F.col("lo"), F.col(SEG) * span - before), F.least(F.col("hi"), F.col(SEG) * span + (span - 1 + after))
+    marks = segs.select("caseid", SEG, F.struct(first.alias("a"), last.alias("b")).alias("_range"))
+    points = F.when(F.col("_range").isNotNull(), F.sequence(F.col("_range.a"), F.col("_range.b"))).otherwise(F.array("slot"))
     placed = (
-        rows.unionByName(marks)
-        .withColumn(SEG, F.explode(F.sequence(first, last)))
-        .repartition("caseid", SEG)
-    )
+        rows.unionByName(marks, allowMissingColumns=True).repartition("caseid", SEG)
+        .select("caseid", SEG, F.explode(points).alias("slot"), "track", "seq", "t", "v"))
     # One row per timestamp: the last finite value and duplicate flag of every track.
     per_t = placed.groupBy("caseid", SEG, "slot", "t").agg(*[
         a for i, name in enumerate(tracks) for a in (
@@ -200,8 +199,6 @@ def align_grid(
         F.last(x.name, ignorenulls=True).over(local).alias(x.name) for x in lookups])
     filled = filled.join(carry, ["caseid", SEG], "left").where("_point").select(
         "caseid", SEG, "slot", *[F.coalesce(F.col(x.name), F.col(f"_in_{x.name}")).alias(x.name) for x in lookups])
-    segs = bounds.select("caseid", "w0", "lo", "hi", F.explode(F.sequence(
-        segment_of(F.col("lo") - after, span), segment_of(F.col("hi") + before, span))).alias(SEG))
     return filled.join(segs, ["caseid", SEG]).select(
         "caseid", SEG, "slot", (F.col("w0") + F.col("slot") * F.lit(step)).alias("g"),
         (F.col("slot") - F.col("lo")).alias("k"), (F.col("hi") - F.col("lo") + 1).alias("n"),

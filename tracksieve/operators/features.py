@@ -9,7 +9,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tracksieve.functions.columns import rate_constants
-from tracksieve.operators.ordered import SEG, next_row, previous_row, running_sum, segmented, spread_join, with_halo
+from tracksieve.operators.ordered import SEG, dense_rows, next_row, previous_row, running_sum, segmented, spread_join, with_halo
 
 TIME_SPAN = 86400.0 * 365  # seconds of relative time per segment; knots are distinct in time
 STEP_SPAN = 1 << 16
@@ -56,11 +56,10 @@ def dose_integrals(intervals: DataFrame, recent: float = 60.0, minute: float = 6
 def step_doses(intervals: DataFrame, cases: DataFrame, step: float = 10.0, minute: float = 60.0) -> DataFrame:
     """(caseid, step_no, dose, mean_rate) for every complete step; an interval is split over the steps it meets."""
     last = F.ceil(F.col("t_to") / step) - 1
-    parts = intervals.where(F.col("t_to") > F.col("t_from")).select(
-        "*", F.explode(F.sequence(F.floor(F.col("t_from") / step), last)).alias("step_no"))
+    parts = dense_rows(intervals.where(F.col("t_to") > F.col("t_from")), "caseid", F.floor(F.col("t_from") / step), last, "step_no", STEP_SPAN)
     d = parts.groupBy("caseid", "step_no").agg(F.sum(dose_between(F.col("step_no") * step, (F.col("step_no") + 1) * step, minute)).alias("dose"))
     n = F.floor((F.col("w1") - F.col("w0")) / step)
-    every = cases.where(n >= 1).select("caseid", F.explode(F.sequence(F.lit(0).cast("bigint"), n - 1)).alias("step_no"))
+    every = dense_rows(cases, "caseid", F.lit(0), n - 1, "step_no", STEP_SPAN).select("caseid", "step_no")
     return every.join(d, ["caseid", "step_no"], "left").select(
         "caseid", "step_no", F.coalesce("dose", F.lit(0.0)).alias("dose"), (F.coalesce("dose", F.lit(0.0)) * minute / step).alias("mean_rate"))
 

@@ -165,6 +165,15 @@ def with_halo(df: DataFrame, index: str, span: int, before: int, after: int) ->
     )
 
 
+def dense_rows(df: DataFrame, key: str, first: Column, last: Column, out: str, span: int) -> DataFrame:
+    """One row per integer from ``first`` to ``last``; a long range is cut into segments that spread over tasks first."""
+    lo, hi = first.cast("bigint"), last.cast("bigint")
+    cut = df.withColumn("_lo", lo).withColumn("_hi", hi).where(F.col("_hi") >= F.col("_lo")).withColumn(
+        SEG, F.explode(F.sequence(segment_of("_lo", span), segment_of("_hi", span)))).repartition(key, SEG)
+    start, end = F.greatest(F.col("_lo"), F.col(SEG) * span), F.least(F.col("_hi"), F.col(SEG) * span + (span - 1))
+    return cut.withColumn(out, F.explode(F.sequence(start, end))).drop("_lo", "_hi", SEG)
+
+
 def islands(
     df: DataFrame, keys: Sequence[str], order: str, start: Column,
     sums: Mapping[str, Column] | None = None, mins: Mapping[str, Column] | None = None, maxs: Mapping[str, Column] | None = None,

@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from tracksieve.functions.columns import hash_draw, nul_hash
-from tracksieve.operators.ordered import SEG, hash_segment, ranked, spread_join
+from tracksieve.operators.ordered import SEG, hash_segment, ranked
 
 
 def stratified_sample(rows: DataFrame, stratum: str, seed: int | str, k: int, key: str = "caseid") -> DataFrame:
@@ -59,4 +59,4 @@ def draws_with_replacement(spark, items: DataFrame, key: str, n: int, seed: int
     r = ranked(h, ["_g"], ["_h", key], "_rank").select(key, "_rank")
     size = items.select(key).distinct().agg(F.count(F.lit(1)).alias("n")).scalar()
     d = spark.range(n).withColumnRenamed("id", "draw").withColumn("_rank", hash_draw(F.lit(str(seed)), "draw") % size + 1)
-    return spread_join(d, r, ["_rank"], "draw").select("draw", key)
+    return d.join(r, "_rank").select("draw", key)

@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 
 from tracksieve.functions.columns import hash_draw
 from tracksieve.functions.quantiles import exact_quantiles, moments
-from tracksieve.operators.ordered import SEG, SPAN, previous_row, ranked, segment_of, segmented, spread_join
+from tracksieve.operators.ordered import SEG, SPAN, previous_row, ranked, segment_of, segmented
 
 # Conditions and the weights of the five contrasts (P0S0, P1S0, P0S1, P1S1).
 CONDITIONS = ("P0S0", "P1S0", "P0S1", "P1S1")
@@ -117,7 +117,7 @@ def bootstrap_ci(subject_rows: DataFrame, names: Sequence[tuple[str, str]], repl
     n = subject_rows.select("subjectid").distinct().agg(F.count(F.lit(1)).alias("n")).scalar()
     opened = values.select("position", F.explode(F.sequence(F.lit(0), F.lit(replicates - 1))).alias("replicate"))
     draws = opened.select("replicate", (hash_draw(F.lit(str(seed)), "replicate", "position") % n).alias("position"))
-    means = spread_join(draws, values.drop("subjectid"), ["position"], F.struct("replicate")).groupBy("replicate").agg(*[F.avg(v).alias(v) for v in cols])
+    means = draws.join(values.drop("subjectid"), "position").groupBy("replicate").agg(*[F.avg(v).alias(v) for v in cols])
     long = _unpivot(means, ["replicate"], cols, names, "mean")
     tail = (1 - level) / 2
     return exact_quantiles(long, ["metric", "contrast"], "mean", {"ci_low": round(tail, 6), "ci_high": round(1 - tail, 6)}, method="linear").drop("n")
