@@ -1,7 +1,7 @@
 """Headline queries at $BENCH_SF_DIR on local[$BENCH_CPUS]; prints one JSON line.
 
-Each query runs three times; the first run (JIT, footers) is dropped and the
-median of the rest is reported.  BENCH_RUNS overrides the number of runs.
+Each query runs twice; the first run (JIT, footers) is dropped and the median of
+the rest is reported.  BENCH_RUNS overrides the number of runs.
 """
 
 from __future__ import annotations
@@ -15,16 +15,15 @@ from tracksieve.plans.registry import all_queries
 from tracksieve.session import get_session
 
 HEADLINE = (
-    "causal_windows", "sweep_counts", "sweep_summary", "asof_blocking", "interval_stats", "value_stats", "gap_runs_fixed",
-    "gap_runs_adaptive", "quality_scenarios", "marginal_sweep", "eligibility_manifest", "authorise_reads", "dist_nearest_rank",
-    "split_allocation", "balance_continuous", "cohort_freeze", "paired_contrasts", "bootstrap_ci", "signflip_p",
+    "causal_windows", "sweep_counts", "asof_blocking", "interval_stats", "value_stats", "gap_runs_fixed", "eligibility_manifest",
+    "authorise_reads", "dist_nearest_rank", "split_allocation", "paired_contrasts", "bootstrap_ci",
 )
 
 
 def main() -> None:
     sf_dir = os.environ.get("BENCH_SF_DIR", "/root/testdata/sf0.1")
     cores = os.environ.get("BENCH_CPUS", "8")
-    runs = int(os.environ.get("BENCH_RUNS", "3"))
+    runs = int(os.environ.get("BENCH_RUNS", "2"))
     spark = get_session("bench", cores)
     found = all_queries()
     seconds = {}

@@ -10,6 +10,7 @@ from tracksieve.operators import checksums, linkage as lk, split as sp
 from tracksieve.plans import fixtures as fx
 from tracksieve.plans.registry import Query
 from tracksieve.plans.sequences import _r
+from tracksieve.session import cut_lineage
 
 AGE_SQL = "CASE WHEN {0}<18 THEN 'missing_or_invalid' WHEN {0}<40 THEN '18_to_lt_40' WHEN {0}<60 THEN '40_to_lt_60' WHEN {0}<75 THEN '60_to_lt_75' ELSE 'ge_75' END"
 CTE = dict(
@@ -52,7 +53,7 @@ def quotas(spark: SparkSession, d: str) -> DataFrame:
 
 
 def allocation(spark: SparkSession, d: str) -> DataFrame:
-    s = subjects(spark, d)
+    s = cut_lineage(subjects(spark, d))  # one row per subject, read by the quotas and by the ranks
     return sp.allocate(s, sp.hamilton_quotas(sp.stratum_counts(s)))
 
 
@@ -106,7 +107,9 @@ SECONDARY = ("age_group", "bmi_group", "asa_group", "emergency_group", "operatio
 
 
 def _subjects_with_split(spark: SparkSession, d: str) -> DataFrame:
-    return subjects(spark, d).join(allocation(spark, d).select("subjectid", "assigned_split"), "subjectid")
+    s = cut_lineage(subjects(spark, d))
+    a = sp.allocate(s, sp.hamilton_quotas(sp.stratum_counts(s)))
+    return cut_lineage(s.join(a.select("subjectid", "assigned_split"), "subjectid"))
 
 
 def _cases_with_split(spark: SparkSession, d: str) -> DataFrame:
