@@ -20,7 +20,7 @@ def skewed(spark):
     return spark.createDataFrame(rows, "k bigint, o bigint, v double, n bigint").cache()
 
 
-def whole(*extra):
+def whole():
     return Window.partitionBy("k").orderBy("o")
 
 
@@ -44,11 +44,9 @@ def test_islands_and_ranks(skewed, span):
     p = od.previous_row(s, ["k"], "o", ["v"])
     got = sorted((r.k, r.a, r.z, r.c) for r in od.islands(p, ["k"], "o", start, sums={"c": F.lit(1)}, mins={"a": F.col("o")}, maxs={"z": F.col("o")}).collect())
     lag = F.lag("v").over(whole())
-    g = F.sum(F.when(F.coalesce(F.col("v") != lag, F.lit(True)) | F.col("v").isNull(), 1).otherwise(0))
     marked = skewed.withColumn("st", F.when(F.coalesce(F.col("v") != lag, F.lit(True)) | F.col("v").isNull(), 1).otherwise(0))
     want = sorted((r.k, r.a, r.z, r.c) for r in marked.withColumn("g", F.sum("st").over(whole().rowsBetween(Window.unboundedPreceding, 0))).groupBy("k", "g").agg(
         F.min("o").alias("a"), F.max("o").alias("z"), F.count(F.lit(1)).alias("c")).collect())
-    del g
     assert got == want
     r = sorted((x.k, x.o, x.rank) for x in od.ranked(s, ["k"], ["o"]).collect())
     assert r == sorted((x.k, x.o, x.rank) for x in skewed.withColumn("rank", F.row_number().over(whole())).collect())

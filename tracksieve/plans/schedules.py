@@ -229,6 +229,21 @@ def three_compartment(spark: SparkSession, d: str) -> DataFrame:
     return _r(ft.three_compartment(intervals(spark, d), patients(spark, d), F.col("horizon"), MINUTE))
 
 
+def _gone(x: str) -> str:
+    return f"(exp(-{x}*(h-t_to)/{MINUTE})-exp(-{x}*(h-t_from)/{MINUTE}))"
+
+
+THREE_SQL = sch_sql(f"""SELECT caseid, round(sum(rate*a*{_gone('l')}/l),6)+0.0 AS plasma, round(sum(rate*ke0*a/(ke0-l)*({_gone('l')}/l-{_gone('ke0')}/ke0)),6)+0.0 AS effect FROM iv JOIN ml USING (caseid) GROUP BY 1""",
+                    lb="SELECT caseid, 18+caseid%70 AS age, CASE WHEN caseid%2=0 THEN 1.1*w-128*(w/h)*(w/h) ELSE 1.07*w-148*(w/h)*(w/h) END AS lbm FROM (SELECT caseid, (45+caseid%60)::DOUBLE AS w, (150+caseid%40)::DOUBLE AS h FROM cs)",
+                    pr=f"""SELECT caseid, {_M['f1']}-{_M['f2']}*(age-40)+{_M['f3']}*(lbm-55) AS v1, {_M['f4']}-{_M['f5']}*(age-40)+{_M['f6']}*(lbm-55) AS v2, {_M['f7']}::DOUBLE AS v3, {_M['f8']}-{_M['f9']}*(age-40)+{_M['f10']}*(lbm-55) AS cl1,
+                      {_M['f11']}-0.0301*(age-40) AS cl2, {_M['f13']}-{_M['f14']}*(age-40) AS cl3, {_M['f15']}-{_M['f16']}*(age-40) AS ke0 FROM lb""",
+                    kk="SELECT caseid, v1, ke0, cl1/v1 AS k10, cl2/v1 AS k12, cl3/v1 AS k13, cl2/v2 AS k21, cl3/v3 AS k31 FROM pr",
+                    ss="SELECT *, k10+k12+k13+k21+k31 AS s2, k10*k31+k21*k31+k21*k13+k10*k21+k31*k12 AS s1, k10*k21*k31 AS s0 FROM kk",
+                    rr="SELECT *, s1-s2*s2/3 AS p, 2*s2*s2*s2/27-s1*s2/3+s0 AS q FROM ss",
+                    rt="SELECT *, " + ", ".join(f"s2/3-cos(acos(greatest(-1,least(1,-q/2/sqrt(-(p*p*p)/27))))/3+{2 * j}*pi()/3)*2*cbrt(sqrt(-(p*p*p)/27)) AS l{j + 1}" for j in range(3)) + " FROM rr",
+                    ml=" UNION ALL ".join(f"SELECT caseid, ke0, l{j} AS l, (l{j}-k21)*(l{j}-k31)/((l{j}-l{o[0]})*(l{j}-l{o[1]})*v1) AS a FROM rt" for j, o in ((1, (2, 3)), (2, (1, 3)), (3, (1, 2)))))
+
+
 def bundle(spark: SparkSession, d: str) -> DataFrame:
     """Profile, template counters and schedule fingerprint of a case, with derived ids."""
     age, sex, height, weight = _patient()
@@ -264,6 +279,6 @@ QUERIES = {
     "covariate_params": Query(covariates, COVARIATE_SQL),
     "response_surface": Query(response, RESPONSE_SQL),
     "exposure_one_compartment": Query(one_compartment, ONE_SQL),
-    "exposure_three_compartment": Query(three_compartment, None),
+    "exposure_three_compartment": Query(three_compartment, THREE_SQL),
     "runtime_bundle": Query(bundle, BUNDLE_SQL),
 }

@@ -8,7 +8,6 @@ from pyspark.sql import functions as F
 from tracksieve.functions.columns import is_finite, r6
 from tracksieve.functions.quantiles import RECORD_QUANTILES
 from tracksieve.operators import sequence as sq
-from tracksieve.operators.align import in_window
 from tracksieve.plans import fixtures as fx
 from tracksieve.plans.registry import Query
 

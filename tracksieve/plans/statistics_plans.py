@@ -136,6 +136,10 @@ def integrity(spark: SparkSession, d: str) -> DataFrame:
 
 
 
+INTEGRITY_SQL = con_sql("""SELECT metric, contrast AS item, 'adjusted_ge_raw' AS rule FROM hm WHERE contrast='interaction' AND p/2<p
+  UNION ALL SELECT 'm2', 'P0S0', 'q1_le_median' FROM sm WHERE metric='m2' AND condition_id='P0S0' HAVING max(value)+1>median(value)
+  UNION ALL SELECT DISTINCT metric, contrast, 'missing_contrast' FROM sr WHERE metric='m3' AND contrast='P1S1_minus_P1S0'""", **FLIP, **SMEAN)
+
 PRECISION = {"m1": 2, "m2": 1, "m3": 4}
 
 
@@ -158,7 +162,7 @@ QUERIES = {
     "holm": Query(holm, con_sql("SELECT metric, contrast, round(p+1.7320508e-8,6)+0.0 AS p, round(adjusted_p+1.7320508e-8,6)+0.0 AS adjusted_p FROM hm", **FLIP)),
     "effect_size": Query(effect, con_sql("SELECT metric, contrast, subjects, round(mean_difference+1.7320508e-8,6)+0.0 AS mean_difference, round(median_difference+1.7320508e-8,6)+0.0 AS median_difference, round(dz+1.7320508e-8,6)+0.0 AS dz FROM ef", **EFFECT)),
     "paired_table": Query(lambda s, d: _rs(table(s, d)), TABLE_SQL),
-    "result_integrity": Query(integrity, None),
+    "result_integrity": Query(integrity, INTEGRITY_SQL),
     "result_tables": Query(result_tables, None),
     "result_cells": Query(result_cells, con_sql("SELECT round(mean_difference+1.7320508e-8,6)+0.0 AS mean_difference FROM ef WHERE metric='m1' AND contrast='interaction'", **EFFECT)),
 }
