@@ -1,5 +1,5 @@
-"""Operators that prepare training text and vectors: sharding, search, deduplication, quality, mixing, packing.
+"""Operators that prepare training text: sharding, deduplication, quality, mixing, packing.
 
 Every module holds one operator with its own general interface and the query
-that applies it to a whole table.  Nothing outside this folder imports it.
+that applies it to a whole table.  Only ``__spark_entry__`` and ``corpus_pipeline`` import it.
 """

@@ -6,13 +6,15 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tracksieve.llm import line_dedup, mixing, quality_rules, sharding
+from tracksieve.llm import line_dedup, mixing, near_dedup, packing, quality_rules, sharding
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_sharding": sharding.op1_sharding,
     "op3_line_dedup": line_dedup.op3_line_dedup,
     "op4_quality_rules": quality_rules.op4_quality_rules,
+    "op5_near_dedup": near_dedup.op5_near_dedup,
     "op7_mixing": mixing.op7_mixing,
+    "op10_packing": packing.op10_packing,
 }
 
 ORACLES: dict[str, str] = {
