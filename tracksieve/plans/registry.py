@@ -20,6 +20,9 @@ MODULES = (
     "source_plans", "stream_plans",
 )
 
+#: Queries from outside this folder; ``__spark_entry__`` puts them here.
+ADDED: dict[str, Query] = {}
+
 
 def all_queries() -> dict[str, Query]:
     found: dict[str, Query] = {}
@@ -34,4 +37,6 @@ def all_queries() -> dict[str, Query]:
             if key in found:
                 raise ValueError(f"query registered twice: {key}")
             found[key] = query
-    return found
+    if twice := found.keys() & ADDED.keys():
+        raise ValueError(f"query registered twice: {sorted(twice)}")
+    return found | ADDED
