@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tracksieve.llm import line_dedup, mixing, near_dedup, packing, quality_rules, sharding
+from tracksieve.llm import line_dedup, mixing, near_dedup, packing, quality_rules, sharding, token_counts
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_sharding": sharding.op1_sharding,
@@ -15,6 +15,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op5_near_dedup": near_dedup.op5_near_dedup,
     "op7_mixing": mixing.op7_mixing,
     "op10_packing": packing.op10_packing,
+    "op11_token_counts": token_counts.op11_token_counts,
 }
 
 ORACLES: dict[str, str] = {
