@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tracksieve.llm import line_dedup, mixing, near_dedup, packing, quality_rules, sharding, token_counts
+from tracksieve.llm import line_dedup, mixing, near_dedup, packing, prefix_trie, quality_rules, sharding, token_counts, vector_codes
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_sharding": sharding.op1_sharding,
@@ -16,10 +16,14 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op7_mixing": mixing.op7_mixing,
     "op10_packing": packing.op10_packing,
     "op11_token_counts": token_counts.op11_token_counts,
+    "op12_prefix_trie": prefix_trie.op12_prefix_trie,
+    "op13_vector_codes": vector_codes.op13_vector_codes,
 }
 
 ORACLES: dict[str, str] = {
     "op3_line_dedup": line_dedup.ORACLE,
     "op4_quality_rules": quality_rules.ORACLE,
     "op7_mixing": mixing.ORACLE,
+    "op12_prefix_trie": prefix_trie.ORACLE,
+    "op13_vector_codes": vector_codes.ORACLE,
 }

@@ -19,11 +19,11 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def stored(df: DataFrame, name: str) -> DataFrame:
+def stored(df: DataFrame, name: str, compression: str = "snappy") -> DataFrame:
     """Write ``df`` to the shared folder and read it back: short lineage, known size, and safe from a lost executor."""
     spark = df.sparkSession
     path = f"{shared_dir(spark).rstrip('/')}/{name}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
+    df.write.parquet(path, compression=compression)
     return spark.read.schema(df.schema).parquet(path)
 
 
@@ -37,7 +37,7 @@ def attach(df: DataFrame, dims: DataFrame, key: str, salt: Column, salts: int =
     others = [c for c in dims.columns if c != "_key"]
     if fits_broadcast(dims):
         return df.join(F.broadcast(dims), df[key].eqNullSafe(dims["_key"]), how).select(df["*"], *[dims[c] for c in others])
-    rows = df.withColumn("_part", F.pmod(salt, F.lit(salts)))
+    rows = df.withColumn("_part", F.pmod(F.xxhash64(salt), F.lit(salts)))  # hashed: a salt may be null or text
     parts = dims.withColumn("_of", F.explode(F.sequence(F.lit(0), F.lit(salts - 1)).cast("array<bigint>")))
     return rows.join(parts, rows[key].eqNullSafe(parts["_key"]) & (rows["_part"] == parts["_of"]), how).select(
         *[rows[c] for c in df.columns], *[parts[c] for c in others])
