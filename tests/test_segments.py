@@ -84,6 +84,43 @@ def test_quantiles_match_their_definitions(spark, resolution):
     assert got[5].n == 0 and got[5].n50 is None
 
 
+def crowded():
+    """Distributions whose values pile up in one segment: close together, a day of epoch seconds, tiny, huge, both signs, ties."""
+    rng = np.random.default_rng(9)
+    return {
+        "close": 7.0 + np.arange(3000) * 3e-9, "epoch": 1.7e9 + rng.permutation(3000) * 28.8, "tiny": 10.0 ** -rng.uniform(4, 300, 2500),
+        "huge": rng.choice([-1, 1], 2500) * 10.0 ** rng.uniform(200, 308, 2500), "signs": np.concatenate([rng.normal(0, 1e-7, 2000), [0.0] * 500, [-0.0] * 20]),
+        "ties": rng.integers(0, 900, 3000) * 1e-6, "edge": np.array([5e-324, 1e-323, 1.5e-323, 2e-323] * 3 + list(np.arange(200) * 5e-324))}
+
+
+@pytest.mark.parametrize("limit,threshold", [(16, "10MB"), (16, "-1"), (700, "10MB")])
+def test_crowded_segments_are_split_until_they_are_small(spark, limit, threshold):
+    groups = crowded()
+    df = spark.createDataFrame([(k, float(x)) for k, v in groups.items() for x in v] + [(None, 1.0), (None, 3.0)], "k string, x double").repartition(5)
+    wanted = {"n01": (.01, "nearest"), "n50": (.5, "nearest"), "n99": (.99, "nearest"), "l37": (.37, "linear"), "r90": (.9, "rounded")}
+    before = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", threshold)
+    try:
+        got = {r.k: r for r in qt.quantiles_of_counts(qt.value_counts(df, ["k"], "x"), ["k"], "x", wanted, limit=limit).collect()}
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", before)
+    assert got[None].n == 2 and got[None].n50 == 1.0 and got[None].n99 == 3.0
+    for k, v in groups.items():
+        s = np.sort(v)
+        for name, p in (("n01", .01), ("n50", .5), ("n99", .99)):
+            assert got[k][name] == s[max(1, int(np.ceil(p * len(s)))) - 1], (k, name)
+        assert got[k].r90 == s[round(.9 * (len(s) - 1))], k
+        at = .37 * (len(s) - 1)
+        low, high = s[int(np.floor(at))], s[int(np.ceil(at))]
+        assert min(low, high) <= got[k].l37 <= max(low, high), k
+
+
+def test_hundred_thousand_values_within_a_hair(spark):
+    df = spark.range(100_000).select((F.lit(1.0) + F.col("id") * 1e-10).alias("x"))
+    row = qt.exact_quantiles(df, [], "x", {"a": .25, "b": .75}).first()
+    assert (row.a, row.b, row.n) == (1.0 + 24_999 * 1e-10, 1.0 + 74_999 * 1e-10, 100_000)
+
+
 @pytest.mark.parametrize("span", [3, 7, 4096])
 def test_grid_alignment_does_not_depend_on_segments(spark, span):
     rng = random.Random(11)
