@@ -1,7 +1,7 @@
 """Episode metrics, paired contrasts and subject-level inference.
 
-Resampling uses portable hash draws, so results are reproducible on any
-cluster size and every (metric, contrast) shares one set of draws.
+Resampling uses portable hash draws and vectors of replicates that add up, so results
+are reproducible on any cluster size and every (metric, contrast) shares one set of draws.
 """
 
 from __future__ import annotations
@@ -11,9 +11,10 @@ from collections.abc import Mapping, Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from tracksieve.functions.columns import hash_draw
-from tracksieve.functions.quantiles import exact_quantiles, moments
-from tracksieve.operators.ordered import SEG, SPAN, previous_row, ranked, segment_of, segmented
+from tracksieve.functions.columns import is_finite
+from tracksieve.functions.quantiles import moments
+from tracksieve.operators.ordered import SPAN, previous_row, segmented
+from tracksieve.operators.resampling import interpolated, poisson_counts, replicate_vectors, signs
 
 # Conditions and the weights of the five contrasts (P0S0, P1S0, P0S1, P1S1).
 CONDITIONS = ("P0S0", "P1S0", "P0S1", "P1S1")
@@ -22,6 +23,7 @@ CONTRASTS = {
     "P1S1_minus_P1S0": (0.0, -1.0, 0.0, 1.0), "interaction": (1.0, -1.0, -1.0, 1.0)}
 # Order in which the four terms of a contrast are added.
 SUMMATION_ORDER = ("P0S0", "P0S1", "P1S1", "P1S0")
+FLIP_SEED = 1 << 32
 
 
 def episode_metrics(trajectory: DataFrame, step_seconds: float = 10.0, target: float = 50.0, low: float = 40.0, high: float = 60.0,
@@ -57,26 +59,39 @@ def with_failures(metrics: DataFrame, cases: DataFrame, conditions: Sequence[str
 
 def case_contrasts(rows: DataFrame, metrics: Sequence[str], contrasts: Mapping[str, Sequence[float]] = CONTRASTS,
                    conditions: Sequence[str] = CONDITIONS, order: Sequence[str] = SUMMATION_ORDER) -> DataFrame:
-    """(caseid, subjectid, metric, contrast, value) for cases with all conditions; terms added in a fixed order."""
+    """(caseid, subjectid, metric, contrast, value, reason): every case, metric and contrast has its row.
+
+    A case counts only if each condition has exactly one row with a finite value, there is no
+    other condition, and all rows name one subject; else ``value`` is null and ``reason`` names
+    the first fault.  Terms are added in a fixed order.
+    """
     long = rows.select("caseid", "subjectid", "condition_id", F.explode(F.array(*[
-        F.struct(F.lit(m).alias("metric"), F.col(m).alias("value")) for m in metrics])).alias("_m")).select("caseid", "subjectid", "condition_id", "_m.*")
+        F.struct(F.lit(m).alias("metric"), F.col(m).cast("double").alias("value")) for m in metrics])).alias("_m")).select("caseid", "subjectid", "condition_id", "_m.*")
+    at = {c: F.col("condition_id") == c for c in conditions}
     wide = long.groupBy("caseid", "metric").agg(
-        F.min("subjectid").alias("subjectid"), F.count_if(F.col("condition_id").isin(*conditions)).alias("_n"),
-        *[F.max(F.when(F.col("condition_id") == c, F.col("value"))).alias(c) for c in conditions])
-    complete = wide.where(F.col("_n") == len(conditions))
+        F.min("subjectid").alias("subjectid"), F.max("subjectid").alias("_last"), F.count_if(F.col("subjectid").isNull()).alias("_nobody"),
+        F.count_if(~F.coalesce(F.col("condition_id").isin(*conditions), F.lit(False))).alias("_unknown"), F.count_if(~is_finite("value")).alias("_odd"),
+        *[F.count_if(on).alias(f"_n_{c}") for c, on in at.items()], *[F.max(F.when(on, F.col("value"))).alias(c) for c, on in at.items()])
+    rows_of = [F.col(f"_n_{c}") for c in conditions]
+    reason = (
+        F.when(F.col("_nobody") > 0, "subject_missing").when(F.col("subjectid") != F.col("_last"), "several_subjects")
+        .when(F.col("_unknown") > 0, "unknown_condition").when(F.greatest(*rows_of) > 1, "duplicate_condition")
+        .when(F.least(*rows_of) < 1, "missing_condition").when(F.col("_odd") > 0, "non_finite_value").otherwise(""))
     # The weights are a literal table; each contrast adds its four weighted terms in the given order.
     table = F.array(*[F.struct(F.lit(name).alias("contrast"), *[F.lit(w).alias(f"w_{c}") for c, w in zip(conditions, weights)])
                       for name, weights in contrasts.items()])
-    each = complete.select("caseid", "subjectid", "metric", *conditions, F.explode(table).alias("_w"))
+    each = wide.select("caseid", "subjectid", "metric", *conditions, reason.alias("reason"), F.explode(table).alias("_w"))
     total = F.col(f"_w.w_{order[0]}") * F.col(order[0])
     for c in order[1:]:
         total = total + F.col(f"_w.w_{c}") * F.col(c)
-    return each.select("caseid", "subjectid", "metric", F.col("_w.contrast").alias("contrast"), total.alias("value"))
+    return each.select("caseid", "subjectid", "metric", F.col("_w.contrast").alias("contrast"), F.when(F.col("reason") == "", total).alias("value"), "reason")
 
 
 def subject_contrasts(contrasts: DataFrame) -> DataFrame:
-    """Mean of a subject's case contrasts."""
-    return contrasts.groupBy("subjectid", "metric", "contrast").agg(F.avg("value").alias("value"), F.count(F.lit(1)).alias("cases"))
+    """Mean of a subject's case contrasts, with the cases that count and those left out; null if none counts."""
+    fine = F.col("reason") == ""
+    return contrasts.groupBy("subjectid", "metric", "contrast").agg(
+        F.avg("value").alias("value"), F.count_if(fine).alias("cases"), F.count_if(~fine).alias("excluded_cases"))
 
 
 def subject_condition_means(rows: DataFrame, metrics: Sequence[str]) -> DataFrame:
@@ -90,51 +105,40 @@ def condition_summary(subject_means: DataFrame) -> DataFrame:
     return moments(subject_means, ["condition_id", "metric"], "value").withColumnRenamed("n", "subjects")
 
 
-def indexed_subjects(subject_rows: DataFrame, names: Sequence[tuple[str, str]], span: int = SPAN) -> tuple[DataFrame, list[str]]:
-    """One row per subject: zero-based position in id order and one value column per (metric, contrast)."""
-    cols = [f"v{i}" for i in range(len(names))]
-    wide = subject_rows.groupBy("subjectid").agg(*[
-        F.max(F.when((F.col("metric") == m) & (F.col("contrast") == c), F.col("value"))).alias(v) for v, (m, c) in zip(cols, names)])
-    r = ranked(wide.withColumn("_g", F.lit(0)).withColumn(SEG, segment_of("subjectid", span)), ["_g"], ["subjectid"], "_r")
-    return r.select("subjectid", (F.col("_r") - 1).alias("position"), *cols), cols
+def _by_subject(subject_rows: DataFrame, names: Sequence[tuple[str, str]]) -> DataFrame:
+    """One row per subject and one column ``v<i>`` per (metric, contrast)."""
+    return subject_rows.groupBy("subjectid").agg(*[
+        F.max(F.when((F.col("metric") == m) & (F.col("contrast") == c), F.col("value"))).alias(f"v{i}") for i, (m, c) in enumerate(names)])
 
 
-def _unpivot(wide: DataFrame, keys: Sequence[str], cols: Sequence[str], names: Sequence[tuple[str, str]], value: str) -> DataFrame:
-    label = wide.select(*keys, *[F.col(v).alias(f"{m}|{c}") for v, (m, c) in zip(cols, names)])
-    long = label.unpivot(list(keys), [f"`{m}|{c}`" for m, c in names], "_label", value)
-    return long.select(*keys, F.split_part("_label", F.lit("|"), F.lit(1)).alias("metric"),
-                       F.split_part("_label", F.lit("|"), F.lit(2)).alias("contrast"), value)
+def _named(vectors: DataFrame, names: Sequence[tuple[str, str]]) -> DataFrame:
+    labels = F.array(*[F.struct(F.lit(m).alias("metric"), F.lit(c).alias("contrast")) for m, c in names])
+    return vectors.withColumn("_l", F.get(labels, F.substring("measure", 2, 9).cast("int"))).select("_l.*", "totals", "weights")
 
 
 def bootstrap_ci(subject_rows: DataFrame, names: Sequence[tuple[str, str]], replicates: int = 2000, seed: int = 42, level: float = 0.95) -> DataFrame:
     """Percentile interval of the resampled mean per (metric, contrast).
 
-    Draw j of replicate b takes the subject at position hash(seed, b, j) mod n.
-    The draws are generated in place (each subject row opens its own j), joined
-    once for all metrics, and averaged map-side per replicate.
+    A subject enters replicate b a Poisson(1) number of times; a replicate that draws nobody has no mean.
     """
-    values, cols = indexed_subjects(subject_rows, names)
-    n = subject_rows.select("subjectid").distinct().agg(F.count(F.lit(1)).alias("n")).scalar()
-    opened = values.select("position", F.explode(F.sequence(F.lit(0), F.lit(replicates - 1))).alias("replicate"))
-    draws = opened.select("replicate", (hash_draw(F.lit(str(seed)), "replicate", "position") % n).alias("position"))
-    means = draws.join(values.drop("subjectid"), "position").groupBy("replicate").agg(*[F.avg(v).alias(v) for v in cols])
-    long = _unpivot(means, ["replicate"], cols, names, "mean")
+    measures = [f"v{i}" for i in range(len(names))]
+    vectors = _named(replicate_vectors(_by_subject(subject_rows, names), measures, poisson_counts, replicates, seed), names)
+    means = F.array_sort(F.array_compact(F.zip_with("totals", "weights", lambda t, w: F.when(w > 0, t / w))))
     tail = (1 - level) / 2
-    return exact_quantiles(long, ["metric", "contrast"], "mean", {"ci_low": round(tail, 6), "ci_high": round(1 - tail, 6)}, method="linear").drop("n")
+    return vectors.withColumn("_m", means).select(
+        "metric", "contrast", interpolated("_m", round(tail, 6)).alias("ci_low"), interpolated("_m", round(1 - tail, 6)).alias("ci_high"))
 
 
 def sign_flip(subject_rows: DataFrame, names: Sequence[tuple[str, str]], replicates: int = 2000, seed: int = 42) -> DataFrame:
-    """Two-sided sign-flip p = (exceeding + 1) / (replicates + 1); the sign comes from a bit of the hash draw."""
-    values, cols = indexed_subjects(subject_rows, names)
-    opened = values.select("*", F.explode(F.sequence(F.lit(0), F.lit(replicates - 1))).alias("replicate"))
-    sign = F.when(hash_draw(F.lit(f"{seed}|flip"), "replicate", "position") % 2 == 0, 1.0).otherwise(-1.0)
-    flipped = opened.select("replicate", sign.alias("_s"), *cols).groupBy("replicate").agg(*[F.abs(F.avg(F.col(v) * F.col("_s"))).alias(v) for v in cols])
-    long = _unpivot(flipped, ["replicate"], cols, names, "flipped")
-    seen = subject_rows.groupBy("metric", "contrast").agg(F.abs(F.avg("value")).alias("observed"))
+    """Two-sided sign-flip p = (exceeding + 1) / (replicates + 1)."""
+    measures = [f"v{i}" for i in range(len(names))]
+    # Another seed than the bootstrap's, so that the two do not share draws.
+    vectors = _named(replicate_vectors(_by_subject(subject_rows, names), measures, signs, replicates, seed + FLIP_SEED), names)
+    seen = subject_rows.groupBy("metric", "contrast").agg(F.abs(F.sum("value")).alias("_total"), F.count("value").alias("_n")).where(F.col("_n") > 0)
     # Means of equal magnitude differ by summation order only in the last bits.
-    hit = F.col("flipped") >= F.col("observed") - F.lit(1e-9)
-    return long.join(F.broadcast(seen), ["metric", "contrast"]).groupBy("metric", "contrast").agg(  # one row per metric and contrast
-        ((F.count_if(hit) + 1) / F.lit(float(replicates + 1))).alias("p"))
+    hits = F.size(F.filter("totals", lambda t: F.abs(t) / F.col("_n") >= F.col("_total") / F.col("_n") - F.lit(1e-9)))
+    return vectors.join(F.broadcast(seen), ["metric", "contrast"]).select(  # one row per metric and contrast
+        "metric", "contrast", ((hits + 1) / F.lit(float(replicates + 1))).alias("p"))
 
 
 def holm(p_values: DataFrame) -> DataFrame:
@@ -163,22 +167,15 @@ def paired_table(subject_rows: DataFrame, names: Sequence[tuple[str, str]], repl
 
 
 def formatted(table: DataFrame, precisions: Mapping[str, int], columns: Sequence[str], by: str = "metric", default: int = 3) -> DataFrame:
-    """Numbers as text with the metric's number of decimals; null stays empty."""
-    digits = F.lit(default)
-    for name, p in precisions.items():
-        digits = F.when(F.col(by) == name, p).otherwise(digits)
-    out = table.withColumn("_d", digits)
-    for c in columns:
-        out = out.withColumn(c, F.coalesce(_fixed(c), F.lit("")))
-    return out.drop("_d")
-
-
-def _fixed(column: str) -> Column:
-    """Fixed decimals for one to six digits, chosen per row."""
-    text = F.format_string("%.6f", F.col(column))
-    for d in range(0, 6):
-        text = F.when(F.col("_d") == d, F.format_string(f"%.{d}f", F.col(column))).otherwise(text)
-    return F.when(F.col(column).isNotNull(), text)
+    """Numbers as text with the metric's number of decimals, halves away from zero; null stays empty."""
+    def fixed(column: str) -> Column:
+        text = {d: F.format_string(f"%.{d}f", F.round(column, d) + F.lit(0.0)) for d in {default, *precisions.values()}}
+        out = text[default]
+        for name, d in precisions.items():
+            out = F.when(F.col(by) == name, text[d]).otherwise(out)
+        return F.when(F.col(column).isNotNull(), out).otherwise("")
+
+    return table.withColumns({c: fixed(c) for c in columns})
 
 
 def cell(table: DataFrame, value: str, **where: str) -> DataFrame:

@@ -75,8 +75,7 @@ def cases(spark: SparkSession, sf_dir: str, *, inverted: bool = False) -> DataFr
 
 def linkage_source(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Cases with their subject and demographics, from orders and customer."""
-    o = table(spark, sf_dir, "orders").where(
-        (F.col("o_orderstatus") == "F") & (F.col("o_orderpriority") == "1-URGENT"))
+    o = table(spark, sf_dir, "orders")
     c = table(spark, sf_dir, "customer")
     male = F.col("c_mktsegment").isin("BUILDING", "FURNITURE", "MACHINERY")
     return o.join(c, F.col("o_custkey") == F.col("c_custkey")).select(
@@ -100,15 +99,27 @@ def tracks(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def metrics_long(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """(caseid, subjectid, condition_id, m1..m5): part as case, five parts as subject, flags as condition."""
-    li = table(spark, sf_dir, "lineitem").where(F.col("l_returnflag").isin("A", "R"))
-    cond = F.concat(F.when(F.col("l_returnflag") == "A", "P0").otherwise("P1"),
+    """(caseid, subjectid, condition_id, m1..m5): part as case, five parts as subject, flags as condition.
+
+    Flag N goes to P0 on even line numbers and to P1 on odd ones.  Metrics are whole numbers, so sums are exact.
+    """
+    even = F.col("l_linenumber") % 2 == 0
+    cond = F.concat(F.when((F.col("l_returnflag") == "A") | ((F.col("l_returnflag") == "N") & even), "P0").otherwise("P1"),
                     F.when(F.col("l_linestatus") == "F", "S0").otherwise("S1"))
-    g = li.groupBy(F.col("l_partkey").alias("caseid"), cond.alias("condition_id")).agg(
-        F.avg("l_quantity").alias("m1"), F.avg("l_extendedprice").alias("m2"), F.avg("l_discount").alias("m3"),
-        F.max("l_quantity").alias("m4"), F.sum("l_tax").alias("m5"))
-    return g.select("caseid", F.floor(F.col("caseid") / 5).alias("subjectid"), "condition_id",
-                    *[F.round(m, 7).alias(m) for m in ("m1", "m2", "m3", "m4", "m5")])
+    hundredths = lambda c: F.sum(F.round(F.col(c) * 100))
+    g = table(spark, sf_dir, "lineitem").groupBy(F.col("l_partkey").alias("caseid"), cond.alias("condition_id")).agg(
+        F.sum("l_quantity").alias("m1"), hundredths("l_extendedprice").alias("m2"), hundredths("l_discount").alias("m3"),
+        F.max("l_quantity").alias("m4"), hundredths("l_tax").alias("m5"))
+    return g.select("caseid", F.floor(F.col("caseid") / 5).alias("subjectid"), "condition_id", "m1", "m2", "m3", "m4", "m5")
+
+
+def faulty_metrics(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """``metrics_long`` with a wrong condition, a repeated one, a NaN and a second subject in some cases; all rows stay."""
+    k, cond = F.col("caseid"), F.col("condition_id")
+    wrong = F.when((k % 83 == 0) & (cond == "P1S1"), "P9S9").when((k % 89 == 0) & (cond == "P0S1"), "P0S0").otherwise(cond)
+    return metrics_long(spark, sf_dir).select(
+        "caseid", F.when((k % 79 == 0) & (cond == "P0S0"), F.lit(-1)).otherwise(F.col("subjectid")).alias("subjectid"), wrong.alias("condition_id"), "m1", "m2",
+        F.when((k % 97 == 0) & (cond == "P1S0"), F.lit(float("nan"))).otherwise(F.col("m3")).alias("m3"), "m4", "m5")
 
 
 METRICS = ("m1", "m2", "m3", "m4", "m5")
@@ -143,13 +154,16 @@ CTES: dict[str, tuple[tuple[str, ...], str]] = {
         (1+o_orderkey%6)::VARCHAR AS asa,
         CASE WHEN o_orderkey%7=0 THEN '' WHEN o_orderkey%3=0 THEN 'Y' ELSE '0' END AS emergency,
         CASE WHEN o_orderkey%11=0 THEN ' ' ELSE c_mktsegment END AS operation
-        FROM orders JOIN customer ON o_custkey=c_custkey WHERE o_orderstatus='F' AND o_orderpriority='1-URGENT'"""),
+        FROM orders JOIN customer ON o_custkey=c_custkey"""),
     "tk": ((), """SELECT l_orderkey AS caseid, p_brand AS tname, l_linenumber::VARCHAR AS tid
         FROM lineitem JOIN part ON l_partkey=p_partkey"""),
     "mx": ((), """SELECT l_partkey AS caseid, l_partkey//5 AS subjectid,
-        (CASE WHEN l_returnflag='A' THEN 'P0' ELSE 'P1' END)||(CASE WHEN l_linestatus='F' THEN 'S0' ELSE 'S1' END) AS condition_id,
-        round(avg(l_quantity),7) AS m1, round(avg(l_extendedprice),7) AS m2, round(avg(l_discount),7) AS m3,
-        round(max(l_quantity),7) AS m4, round(sum(l_tax),7) AS m5 FROM lineitem WHERE l_returnflag IN ('A','R') GROUP BY 1,2,3"""),
+        (CASE WHEN l_returnflag='A' OR (l_returnflag='N' AND l_linenumber%2=0) THEN 'P0' ELSE 'P1' END)||(CASE WHEN l_linestatus='F' THEN 'S0' ELSE 'S1' END) AS condition_id,
+        sum(l_quantity) AS m1, sum(round(l_extendedprice*100)) AS m2, sum(round(l_discount*100)) AS m3, max(l_quantity) AS m4, sum(round(l_tax*100)) AS m5
+        FROM lineitem GROUP BY 1,2,3"""),
+    "mf": (("mx",), """SELECT caseid, CASE WHEN caseid%79=0 AND condition_id='P0S0' THEN -1 ELSE subjectid END AS subjectid,
+        CASE WHEN caseid%83=0 AND condition_id='P1S1' THEN 'P9S9' WHEN caseid%89=0 AND condition_id='P0S1' THEN 'P0S0' ELSE condition_id END AS condition_id,
+        m1, m2, CASE WHEN caseid%97=0 AND condition_id='P1S0' THEN 'nan'::DOUBLE ELSE m3 END AS m3, m4, m5 FROM mx"""),
     # last finite row per timestamp inside the window, with the duplicate flag
     "dd": (("sgq", "cs"), """SELECT s.caseid, track, t,
         arg_max(v, seq) FILTER (WHERE v IS NOT NULL AND isfinite(v)) AS v, count(*)>1 AS dup

@@ -231,22 +231,14 @@ def split_overlap(spark: SparkSession, d: str) -> DataFrame:
 
 
 def paired_accounting(spark: SparkSession, d: str) -> DataFrame:
-    m = fx.metrics_long(spark, d)
-    k = F.col("caseid")
-    broken = m.where(~((k % 10 == 0) & (F.col("condition_id") == "P1S1"))).withColumn("m2", F.when(k % 17 == 0, F.lit(float("nan"))).otherwise(F.col("m2"))).withColumn(
-        "subjectid", F.when((k % 23 == 0) & (F.col("condition_id") == "P0S0"), F.lit(-1)).otherwise(F.col("subjectid")))
-    extra = m.where((k % 29 == 0) & (F.col("condition_id") == "P0S1")).unionByName(m.where((k % 31 == 0) & (F.col("condition_id") == "P0S1")).withColumn("condition_id", F.lit("P9S9")))
-    return gd.paired_accounting(broken.unionByName(extra), fx.CONDITIONS, fx.METRICS)
+    return gd.paired_accounting(fx.faulty_metrics(spark, d), fx.CONDITIONS, fx.METRICS)
 
 
 ACCOUNTING_SQL = fx.sql("""SELECT unnest([{'check':'rows','observed':count(*)::BIGINT}, {'check':'cases','observed':count(DISTINCT caseid)::BIGINT},
    {'check':'duplicate_pairs','observed':(count(*)-count(DISTINCT (caseid,condition_id)))::BIGINT}, {'check':'unknown_conditions','observed':count(DISTINCT CASE WHEN condition_id='P9S9' THEN caseid END)::BIGINT},
-   {'check':'nonfinite_rows','observed':count(*) FILTER (WHERE isnan(m2))::BIGINT},
-   {'check':'incomplete_cases','observed':(count(DISTINCT caseid)-(SELECT count(*) FROM (SELECT caseid FROM z WHERE condition_id<>'P9S9' GROUP BY 1 HAVING count(DISTINCT condition_id)=4)))::BIGINT},
-   {'check':'mapping_conflicts','observed':(SELECT count(*) FROM (SELECT caseid FROM z GROUP BY 1 HAVING count(DISTINCT subjectid)>1))::BIGINT}], recursive:=true) FROM z""", "mx", z="""
-  SELECT caseid, CASE WHEN caseid%23=0 AND condition_id='P0S0' THEN -1 ELSE subjectid END AS subjectid, condition_id, CASE WHEN caseid%17=0 THEN 'nan'::DOUBLE ELSE m2 END AS m2
-   FROM mx WHERE NOT (caseid%10=0 AND condition_id='P1S1') UNION ALL SELECT caseid, subjectid, condition_id, m2 FROM mx WHERE caseid%29=0 AND condition_id='P0S1'
-   UNION ALL SELECT caseid, subjectid, 'P9S9', m2 FROM mx WHERE caseid%31=0 AND condition_id='P0S1'""")
+   {'check':'nonfinite_rows','observed':count(*) FILTER (WHERE isnan(m3))::BIGINT},
+   {'check':'incomplete_cases','observed':(count(DISTINCT caseid)-(SELECT count(*) FROM (SELECT caseid FROM mf WHERE condition_id<>'P9S9' GROUP BY 1 HAVING count(DISTINCT condition_id)=4)))::BIGINT},
+   {'check':'mapping_conflicts','observed':(SELECT count(*) FROM (SELECT caseid FROM mf GROUP BY 1 HAVING count(DISTINCT subjectid)>1))::BIGINT}], recursive:=true) FROM mf""", "mf")
 
 
 def mapping_conflicts(spark: SparkSession, d: str) -> DataFrame:

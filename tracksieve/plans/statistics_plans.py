@@ -6,19 +6,12 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tracksieve.functions.columns import inverse_distance_score
-from tracksieve.operators import guards as gd, statistics as st
+from tracksieve.operators import guards as gd, resampling as rs, statistics as st
 from tracksieve.plans import fixtures as fx
 from tracksieve.plans.registry import Query
 from tracksieve.plans.sequences import _r
 
-OFFSET = 1.7320508e-8  # moves exact decimal ties off the rounding border, on both sides alike
-
-REPLICATES = 200
-
-
-def _rs(df: DataFrame) -> DataFrame:
-    return _r(df.select(*[(F.col(c) + OFFSET).alias(c) if t == "double" else F.col(c) for c, t in df.dtypes]))
-
+REPLICATES = 2000
 
 NAMES = tuple((m, c) for m in fx.METRICS for c in st.CONTRASTS)
 
@@ -55,7 +48,7 @@ FAILED_SQL = fx.sql("""SELECT e.caseid, e.condition_id, steps IS NOT NULL AS com
 
 
 def contrasts(spark: SparkSession, d: str) -> DataFrame:
-    return st.case_contrasts(fx.metrics_long(spark, d), fx.METRICS)
+    return st.case_contrasts(fx.faulty_metrics(spark, d), fx.METRICS)
 
 
 def subject_rows(spark: SparkSession, d: str) -> DataFrame:
@@ -67,61 +60,86 @@ def _term(m: str, weights) -> str:
     return "+".join(f"({w[c]})*{m}_{c}" for c in st.SUMMATION_ORDER)
 
 
+def _reason(m: str) -> str:
+    cells = [f"count(*) FILTER (WHERE condition_id='{c}')" for c in st.CONDITIONS]
+    known = ", ".join(f"'{c}'" for c in st.CONDITIONS)
+    return (f"CASE WHEN count(subjectid)<count(*) THEN 'subject_missing' WHEN min(subjectid)<>max(subjectid) THEN 'several_subjects' "
+            f"WHEN count(*) FILTER (WHERE condition_id NOT IN ({known}))>0 THEN 'unknown_condition' WHEN greatest({','.join(cells)})>1 THEN 'duplicate_condition' "
+            f"WHEN least({','.join(cells)})<1 THEN 'missing_condition' WHEN count(*) FILTER (WHERE NOT isfinite({m}))>0 THEN 'non_finite_value' ELSE '' END")
+
+
 CON = dict(
-    wd="SELECT caseid, min(subjectid) AS subjectid, " + ", ".join(f"max({m}) FILTER (WHERE condition_id='{c}') AS {m}_{c}" for m in fx.METRICS for c in st.CONDITIONS) + " FROM mx GROUP BY 1 HAVING count(*)=4",
-    cc=" UNION ALL ".join(f"SELECT caseid, subjectid, '{m}' AS metric, '{n}' AS contrast, ({_term(m, w)})::DOUBLE AS value FROM wd" for m in fx.METRICS for n, w in st.CONTRASTS.items()),
-    sr="SELECT subjectid, metric, contrast, avg(value) AS value, count(*)::BIGINT AS cases FROM cc GROUP BY 1,2,3",
-    ix="SELECT *, row_number() OVER (PARTITION BY metric, contrast ORDER BY subjectid)-1 AS position, count(*) OVER (PARTITION BY metric, contrast) AS n FROM sr",
+    wd="SELECT caseid, min(subjectid) AS subjectid, " + ", ".join(f"{_reason(m)} AS why_{m}" for m in fx.METRICS) + ", "
+       + ", ".join(f"max({m}) FILTER (WHERE condition_id='{c}') AS {m}_{c}" for m in fx.METRICS for c in st.CONDITIONS) + " FROM mf GROUP BY 1",
+    cc=" UNION ALL ".join(f"SELECT caseid, subjectid, '{m}' AS metric, '{n}' AS contrast, CASE WHEN why_{m}='' THEN {_term(m, w)} END::DOUBLE AS value, why_{m} AS reason FROM wd" for m in fx.METRICS for n, w in st.CONTRASTS.items()),
+    sr="SELECT subjectid, metric, contrast, avg(value) AS value, count(value)::BIGINT AS cases, count(*) FILTER (WHERE reason<>'')::BIGINT AS excluded_cases FROM cc GROUP BY 1,2,3",
 )
+WRAP = "18446744073709551616::UHUGEINT"
+
+
+def _mixed(x: str, keep: str, source: str) -> str:
+    """The 64-bit finalizer of the draws, in 128-bit numbers cut to 64 bits: (keep, h)."""
+    one = f"SELECT {keep}, xor(x, x >> 30) * {rs.MIX_A}::UHUGEINT % {WRAP} AS y FROM (SELECT {keep}, ({x}) % {WRAP} AS x FROM {source})"
+    two = f"SELECT {keep}, xor(y, y >> 27) * {rs.MIX_B}::UHUGEINT % {WRAP} AS z FROM ({one})"
+    return f"SELECT {keep}, xor(z, z >> 31) AS h FROM ({two})"
+
+
+def _draws(seed: int) -> str:
+    start = _mixed(f"(CASE WHEN subjectid < 0 THEN {WRAP} - (-subjectid)::UHUGEINT ELSE subjectid::UHUGEINT END) * {rs.GOLDEN}::UHUGEINT + {seed}", "subjectid", "(SELECT DISTINCT subjectid FROM sr)")
+    return f"SELECT subjectid, b, h >> {64 - rs.BITS} AS u FROM ({_mixed(f'h + (b + 1)::UHUGEINT * {rs.GOLDEN}::UHUGEINT', 'subjectid, b', f'({start}), range({REPLICATES}) r(b)')})"
+
+
+_TIMES = "+".join(f"(u>={t})::INT" for t in rs.poisson_thresholds())
 BOOT = dict(
-    dw=f"SELECT b, j, ('0x'||substr(sha256('42|'||b||'|'||j),1,8))::BIGINT % nn AS position FROM (SELECT count(DISTINCT subjectid) AS nn FROM sr), range({REPLICATES}) b(b), LATERAL (SELECT unnest(range(nn)) AS j)",
-    bm="SELECT metric, contrast, b, avg(value) AS mean FROM dw JOIN ix USING (position) GROUP BY 1,2,3",
+    dw=f"SELECT subjectid, b, {_TIMES} AS w FROM ({_draws(42)})",
+    bm="SELECT metric, contrast, b, sum(w*value)/sum(w) AS mean FROM (SELECT * FROM dw WHERE w>0) JOIN (SELECT * FROM sr WHERE value IS NOT NULL) USING (subjectid) GROUP BY 1,2,3",
     bc="SELECT metric, contrast, quantile_cont(mean,0.025) AS ci_low, quantile_cont(mean,0.975) AS ci_high FROM bm GROUP BY 1,2",
 )
 FLIP = dict(
-    fm=f"SELECT metric, contrast, r, abs(avg(value*CASE WHEN ('0x'||substr(sha256('42|flip|'||r||'|'||position),1,8))::BIGINT%2=0 THEN 1 ELSE -1 END)) AS f FROM ix, range({REPLICATES}) r(r) GROUP BY 1,2,3",
+    fd=f"SELECT subjectid, b, 1-2*(u & 1)::INT AS s FROM ({_draws(42 + st.FLIP_SEED)})",
+    fm="SELECT metric, contrast, b, abs(sum(s*value))/count(value) AS f FROM fd JOIN (SELECT * FROM sr WHERE value IS NOT NULL) USING (subjectid) GROUP BY 1,2,3",
     pv=f"SELECT metric, contrast, (count(*) FILTER (WHERE f>=o-1e-9)+1)/{REPLICATES + 1}.0 AS p FROM fm JOIN (SELECT metric, contrast, abs(avg(value)) AS o FROM sr GROUP BY 1,2) USING (metric, contrast) GROUP BY 1,2",
     hm="""SELECT metric, contrast, p, max(least(1.0,(6-r)*p)) OVER (PARTITION BY metric ORDER BY r ROWS UNBOUNDED PRECEDING) AS adjusted_p
       FROM (SELECT *, row_number() OVER (PARTITION BY metric ORDER BY p, contrast) AS r FROM pv)""",
 )
-EFFECT = dict(ef="""SELECT metric, contrast, count(*)::BIGINT AS subjects, avg(value) AS mean_difference, median(value) AS median_difference,
+EFFECT = dict(ef="""SELECT metric, contrast, count(value)::BIGINT AS subjects, avg(value) AS mean_difference, median(value) AS median_difference,
   CASE WHEN stddev_samp(value)>1e-12 THEN avg(value)/stddev_samp(value) END AS dz FROM sr GROUP BY 1,2""")
 
 
 def con_sql(body: str, **more: str) -> str:
-    return fx.sql(body, "mx", **CON, **more)
+    return fx.sql(body, "mf", **CON, **more)
 
 
 def condition_summary(spark: SparkSession, d: str) -> DataFrame:
-    return _rs(st.condition_summary(st.subject_condition_means(fx.metrics_long(spark, d), fx.METRICS)))
+    return _r(st.condition_summary(st.subject_condition_means(fx.metrics_long(spark, d), fx.METRICS)))
 
 
 SMEAN = dict(sm=" UNION ALL ".join(f"SELECT subjectid, condition_id, '{m}' AS metric, avg({m}) AS value FROM mx GROUP BY 1,2" for m in fx.METRICS))
-CONDITION_SQL = fx.sql("""SELECT condition_id, metric, count(*)::BIGINT AS subjects, round(avg(value)+1.7320508e-8,6)+0.0 AS mean, round(coalesce(stddev_samp(value),0)+1.7320508e-8,6)+0.0 AS sd, round(min(value)+1.7320508e-8,6)+0.0 AS minimum, round(max(value)+1.7320508e-8,6)+0.0 AS maximum,
-  round(quantile_cont(value,0.25)+1.7320508e-8,6)+0.0 AS q1, round(median(value)+1.7320508e-8,6)+0.0 AS median, round(quantile_cont(value,0.75)+1.7320508e-8,6)+0.0 AS q3 FROM sm GROUP BY 1,2""", "mx", **SMEAN)
+CONDITION_SQL = fx.sql("""SELECT condition_id, metric, count(*)::BIGINT AS subjects, round(avg(value),6)+0.0 AS mean, round(coalesce(stddev_samp(value),0),6)+0.0 AS sd, round(min(value),6)+0.0 AS minimum, round(max(value),6)+0.0 AS maximum,
+  round(quantile_cont(value,0.25),6)+0.0 AS q1, round(median(value),6)+0.0 AS median, round(quantile_cont(value,0.75),6)+0.0 AS q3 FROM sm GROUP BY 1,2""", "mx", **SMEAN)
 
 
 def bootstrap(spark: SparkSession, d: str) -> DataFrame:
-    return _rs(st.bootstrap_ci(subject_rows(spark, d), NAMES, REPLICATES))
+    return _r(st.bootstrap_ci(subject_rows(spark, d), NAMES, REPLICATES))
 
 
 def signflip(spark: SparkSession, d: str) -> DataFrame:
-    return _rs(st.sign_flip(subject_rows(spark, d), NAMES, REPLICATES))
+    return _r(st.sign_flip(subject_rows(spark, d), NAMES, REPLICATES))
 
 
 def holm(spark: SparkSession, d: str) -> DataFrame:
-    return _rs(st.holm(st.sign_flip(subject_rows(spark, d), NAMES, REPLICATES)))
+    return _r(st.holm(st.sign_flip(subject_rows(spark, d), NAMES, REPLICATES)))
 
 
 def effect(spark: SparkSession, d: str) -> DataFrame:
-    return _rs(st.effect_size(subject_rows(spark, d)))
+    return _r(st.effect_size(subject_rows(spark, d)))
 
 
 def table(spark: SparkSession, d: str) -> DataFrame:
     return st.paired_table(subject_rows(spark, d), NAMES, REPLICATES)
 
 
-TABLE_SQL = con_sql("SELECT metric, contrast, subjects, " + ", ".join(f"round({c}+1.7320508e-8,6)+0.0 AS {c}" for c in ("mean_difference", "median_difference", "dz", "ci_low", "ci_high", "p", "adjusted_p"))
+TABLE_SQL = con_sql("SELECT metric, contrast, subjects, " + ", ".join(f"round({c},6)+0.0 AS {c}" for c in ("mean_difference", "median_difference", "dz", "ci_low", "ci_high", "p", "adjusted_p"))
                     + " FROM ef JOIN bc USING (metric, contrast) JOIN hm USING (metric, contrast)", **BOOT, **FLIP, **EFFECT)
 
 
@@ -147,22 +165,34 @@ def result_tables(spark: SparkSession, d: str) -> DataFrame:
     return st.formatted(table(spark, d), PRECISION, ("mean_difference", "median_difference", "dz", "ci_low", "ci_high", "p", "adjusted_p"))
 
 
+_DIGITS = "CASE metric " + " ".join(f"WHEN '{m}' THEN {d}" for m, d in PRECISION.items()) + " ELSE 3 END"
+_FIXED = ("mean_difference", "median_difference", "dz", "ci_low", "ci_high", "p", "adjusted_p")
+
+
+def _text(c: str) -> str:
+    return "CASE " + _DIGITS + " " + " ".join(f"WHEN {d} THEN printf('%.{d}f', round({c}::DOUBLE,{d})+0.0)" for d in sorted({3, *PRECISION.values()})) + " END"
+
+
+RESULT_SQL = con_sql("SELECT metric, contrast, subjects, " + ", ".join(f"coalesce({_text(c)}, '') AS {c}" for c in _FIXED)
+                     + " FROM ef JOIN bc USING (metric, contrast) JOIN hm USING (metric, contrast)", **BOOT, **FLIP, **EFFECT)
+
+
 def result_cells(spark: SparkSession, d: str) -> DataFrame:
-    return _rs(st.cell(st.effect_size(subject_rows(spark, d)), "mean_difference", metric="m1", contrast="interaction"))
+    return _r(st.cell(st.effect_size(subject_rows(spark, d)), "mean_difference", metric="m1", contrast="interaction"))
 
 
 QUERIES = {
     "episode_metrics": Query(episode_metrics, fx.sql(f"SELECT caseid, condition_id, steps, {_ROUND} FROM em", "sg", **TRAJ)),
     "failed_episodes": Query(failed_episodes, FAILED_SQL),
     "condition_summary": Query(condition_summary, CONDITION_SQL),
-    "paired_contrasts": Query(lambda s, d: _rs(contrasts(s, d)), con_sql("SELECT caseid, subjectid, metric, contrast, round(value+1.7320508e-8,6)+0.0 AS value FROM cc")),
-    "subject_means": Query(lambda s, d: _rs(subject_rows(s, d)), con_sql("SELECT subjectid, metric, contrast, round(value+1.7320508e-8,6)+0.0 AS value, cases FROM sr")),
-    "bootstrap_ci": Query(bootstrap, con_sql("SELECT metric, contrast, round(ci_low+1.7320508e-8,6)+0.0 AS ci_low, round(ci_high+1.7320508e-8,6)+0.0 AS ci_high FROM bc", **BOOT)),
-    "signflip_p": Query(signflip, con_sql("SELECT metric, contrast, round(p+1.7320508e-8,6)+0.0 AS p FROM pv", **FLIP)),
-    "holm": Query(holm, con_sql("SELECT metric, contrast, round(p+1.7320508e-8,6)+0.0 AS p, round(adjusted_p+1.7320508e-8,6)+0.0 AS adjusted_p FROM hm", **FLIP)),
-    "effect_size": Query(effect, con_sql("SELECT metric, contrast, subjects, round(mean_difference+1.7320508e-8,6)+0.0 AS mean_difference, round(median_difference+1.7320508e-8,6)+0.0 AS median_difference, round(dz+1.7320508e-8,6)+0.0 AS dz FROM ef", **EFFECT)),
-    "paired_table": Query(lambda s, d: _rs(table(s, d)), TABLE_SQL),
+    "paired_contrasts": Query(lambda s, d: _r(contrasts(s, d)), con_sql("SELECT caseid, subjectid, metric, contrast, round(value,6)+0.0 AS value, reason FROM cc")),
+    "subject_means": Query(lambda s, d: _r(subject_rows(s, d)), con_sql("SELECT subjectid, metric, contrast, round(value,6)+0.0 AS value, cases, excluded_cases FROM sr")),
+    "bootstrap_ci": Query(bootstrap, con_sql("SELECT metric, contrast, round(ci_low,6)+0.0 AS ci_low, round(ci_high,6)+0.0 AS ci_high FROM bc", **BOOT)),
+    "signflip_p": Query(signflip, con_sql("SELECT metric, contrast, round(p,6)+0.0 AS p FROM pv", **FLIP)),
+    "holm": Query(holm, con_sql("SELECT metric, contrast, round(p,6)+0.0 AS p, round(adjusted_p,6)+0.0 AS adjusted_p FROM hm", **FLIP)),
+    "effect_size": Query(effect, con_sql("SELECT metric, contrast, subjects, round(mean_difference,6)+0.0 AS mean_difference, round(median_difference,6)+0.0 AS median_difference, round(dz,6)+0.0 AS dz FROM ef", **EFFECT)),
+    "paired_table": Query(lambda s, d: _r(table(s, d)), TABLE_SQL),
     "result_integrity": Query(integrity, INTEGRITY_SQL),
-    "result_tables": Query(result_tables, None),
-    "result_cells": Query(result_cells, con_sql("SELECT round(mean_difference+1.7320508e-8,6)+0.0 AS mean_difference FROM ef WHERE metric='m1' AND contrast='interaction'", **EFFECT)),
+    "result_tables": Query(result_tables, RESULT_SQL),
+    "result_cells": Query(result_cells, con_sql("SELECT round(mean_difference,6)+0.0 AS mean_difference FROM ef WHERE metric='m1' AND contrast='interaction'", **EFFECT)),
 }
