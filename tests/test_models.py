@@ -43,12 +43,23 @@ def test_three_compartments_match_the_exact_transition(spark):
     assert np.isclose(got.plasma, state[0] / values["v1"], rtol=1e-8) and np.isclose(got.effect, state[3], rtol=1e-8)
 
 
-def test_feasibility_shortcut_and_knapsack(spark):
-    many = spark.createDataFrame([(1, 900), (2, 90), (3, 10)], "cluster_size bigint, subjects bigint")
-    assert sp.feasibility(many).first().exact_joint
-    odd = spark.createDataFrame([(1, 2), (9, 1)], "cluster_size bigint, subjects bigint")
-    r = sp.feasibility(odd).first()
-    assert not r.exact_joint and r.minimum_deviation > 0 and (r.cases, r.subjects) == (11, 3)
+def reachable_best(sizes):
+    """Minimum deviation by listing every reachable pair."""
+    cases, subjects = sum(sizes), len(sizes)
+    need = [c - s for c, s in zip(sp._nearest_targets(cases, sp.PROPORTIONS), sp._nearest_targets(subjects, sp.PROPORTIONS))]
+    pairs = {(0, 0)}
+    for e in (s - 1 for s in sizes if s > 1):
+        pairs = {p for a, b in pairs for p in ((a + e, b), (a, b + e), (a, b))}
+    whole = sum(s - 1 for s in sizes)
+    return min(abs(a - need[0]) + abs(b - need[1]) + abs(whole - a - b - need[2]) for a, b in pairs)
+
+
+@pytest.mark.parametrize("sizes", [[1] * 90 + [2] * 9 + [3], [1, 1, 9], [5, 5, 5, 5], [1, 2, 3, 4, 5, 6, 7], [2] * 13 + [7, 7, 11], [1], [30, 1, 1, 2], [4] * 9 + [3] * 5 + [1]])
+def test_feasibility_equals_the_list_of_all_pairs(spark, sizes):
+    rows = [(s, sizes.count(s)) for s in sorted(set(sizes))]
+    r = sp.feasibility(spark.createDataFrame(rows, "cluster_size bigint, subjects bigint")).first()
+    assert (r.cases, r.subjects, r.largest) == (sum(sizes), len(sizes), max(sizes))
+    assert r.minimum_deviation == reachable_best(sizes) and r.exact_joint == (r.minimum_deviation == 0)
 
 
 def test_stream_marks_late_events_and_keeps_state(spark, tmp_path):

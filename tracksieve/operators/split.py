@@ -11,6 +11,7 @@ from tracksieve.functions.columns import AGE_ORDER, COUNT_BAND_ORDER, SEX_ORDER,
 from tracksieve.functions.quantiles import exact_quantiles
 from tracksieve.operators.checksums import tree_checksum
 from tracksieve.operators.ordered import SEG, hash_segment, ranked, spread_join
+from tracksieve.session import cut_lineage
 
 # Split names and shares of the three-way targets, allocation seed.
 PROPORTIONS = (("train", 0.70), ("validation", 0.15), ("test", 0.15))
@@ -138,52 +139,62 @@ def split_guard(case_rows: DataFrame, subject_rows: DataFrame, seal: Mapping[str
     return out
 
 
+def _nearest_targets(total: int, shares: Sequence[tuple[str, float]]) -> list[int]:
+    ideal = [total * s for _, s in shares]
+    base = [int(x) for x in ideal]
+    for i in sorted(range(len(ideal)), key=lambda i: (base[i] - ideal[i], i))[: total - sum(base)]:
+        base[i] += 1
+    return base
+
+
+def _fills(need: Sequence[int], extras: Mapping[int, int]) -> bool:
+    """Whether the needs are filled exactly by giving each extra, the largest first, to the part that lacks most."""
+    left = list(need)
+    for extra in sorted(extras, reverse=True):
+        n = extras[extra]
+        while n > 0:
+            left.sort()
+            rounds = min(n // 3, left[0] // extra)
+            if rounds > 0 and left[-1] - left[0] <= extra:  # all lack about the same: whole rounds at once
+                left = [x - extra * rounds for x in left]
+                n -= 3 * rounds
+                continue
+            # The part that lacks most takes extras until it no longer lacks more than the next one, at least one.
+            take = max(1, min(n, (left[-1] - left[-2]) // extra))
+            if left[-1] < extra * take:
+                return False
+            left[-1] -= extra * take
+            n -= take
+    return not any(left)
+
+
 def feasibility(cluster_sizes: DataFrame, shares: Sequence[tuple[str, float]] = PROPORTIONS) -> DataFrame:
     """Can nearest case and subject targets be met together, from the histogram of sizes alone?
 
-    (cases, subjects, exact_case_targets, exact_joint, minimum_deviation, largest).
-    Input is one row per distinct size.  The reachable pairs (extra cases in the
-    first and second split) are a two-dimensional bounded knapsack over the sizes
-    above one, folded in one small task on that histogram.
+    (cases, subjects, exact_case_targets, exact_joint, minimum_deviation, largest).  Input is one
+    row per distinct size: fewer than the root of twice the number of cases.  A cluster brings
+    its size less one as extra cases.  If filling the parts greedily meets every need exactly,
+    the deviation is 0, which nothing beats.  Otherwise the reachable pairs (extras of the first
+    and of the second part) grow as rows of a table, size by size, and the best one is taken.
     """
-    import numpy as np
-    import pandas as pd
-
-    def targets(total: int) -> list[int]:
-        ideal = [total * s for _, s in shares]
-        base = [int(np.floor(x)) for x in ideal]
-        order = sorted(range(len(ideal)), key=lambda i: (base[i] - ideal[i], i))
-        for i in order[: total - sum(base)]:
-            base[i] += 1
-        return base
-
-    def solve(pdf: pd.DataFrame) -> pd.DataFrame:
-        size, count = pdf["cluster_size"].to_numpy(), pdf["subjects"].to_numpy()
-        cases, subjects = int((size * count).sum()), int(count.sum())
-        ct, st = targets(cases), targets(subjects)
-        single, rest = int(count[size == 1].sum()), int((size * count)[size > 1].sum())
-        by_case = rest <= max(ct) and single >= cases - max(ct)
-        need = [c - s for c, s in zip(ct, st)]
-        extra = {int(s) - 1: int(n) for s, n in zip(size, count) if s > 1}
-        ones = extra.pop(1, 0)
-        big = sum(e * n for e, n in extra.items())
-        if min(need) >= 0 and big <= need[0] and ones >= sum(need) - big:
-            best = 0  # all larger clusters fit the first split and size-two clusters fill the rest
-        else:
-            whole = big + ones
-            reach = np.zeros((whole + 1, whole + 1), dtype=bool)
-            reach[0, 0] = True
-            for e, n in [*extra.items(), *([(1, ones)] if ones else [])]:
-                for _ in range(n):
-                    nxt = reach.copy()
-                    nxt[e:, :] |= reach[:-e, :]
-                    nxt[:, e:] |= reach[:, :-e]
-                    reach = nxt
-            a, b = np.nonzero(reach)
-            x, y, z = a - need[0], b - need[1], whole - a - b - need[2]
-            best = int((np.abs(x) + np.abs(y) + np.abs(z)).min())
-        return pd.DataFrame({"cases": [cases], "subjects": [subjects], "exact_case_targets": [by_case], "exact_joint": [best == 0],
-                             "minimum_deviation": [best], "largest": [int(size.max())]})
-
-    return cluster_sizes.select(F.lit(0).alias("_g"), "cluster_size", "subjects").groupBy("_g").applyInPandas(
-        solve, "cases bigint, subjects bigint, exact_case_targets boolean, exact_joint boolean, minimum_deviation bigint, largest bigint")
+    spark = cluster_sizes.sparkSession
+    found = {int(r[0]): int(r[1]) for r in cluster_sizes.groupBy("cluster_size").agg(F.sum("subjects")).collect()}
+    cases, subjects = sum(s * n for s, n in found.items()), sum(found.values())
+    case_targets, subject_targets = _nearest_targets(cases, shares), _nearest_targets(subjects, shares)
+    alone = found.get(1, 0)
+    by_case = cases - alone <= max(case_targets) and alone >= cases - max(case_targets)
+    need = [c - s for c, s in zip(case_targets, subject_targets)]
+    extras = {s - 1: n for s, n in found.items() if s > 1}
+    best = 0 if min(need) >= 0 and _fills(need, extras) else None
+    if best is None:
+        whole = sum(e * n for e, n in extras.items())
+        reached = spark.range(1).select(F.lit(0).cast("bigint").alias("a"), F.lit(0).cast("bigint").alias("b"))
+        for e, n in sorted(extras.items()):
+            first = reached.select("a", "b", F.explode(F.sequence(F.lit(0), F.lit(n))).alias("i"))
+            both = first.select((F.col("a") + F.col("i") * e).alias("a"), "b", F.explode(F.sequence(F.lit(0), F.lit(n) - F.col("i"))).alias("j"))
+            reached = cut_lineage(both.select("a", (F.col("b") + F.col("j") * e).alias("b")).distinct())
+        off = F.abs(F.col("a") - need[0]) + F.abs(F.col("b") - need[1]) + F.abs(F.lit(whole) - F.col("a") - F.col("b") - need[2])
+        best = reached.agg(F.min(off)).first()[0]
+    return spark.createDataFrame(
+        [(cases, subjects, by_case, best == 0, best, max(found))],
+        "cases bigint, subjects bigint, exact_case_targets boolean, exact_joint boolean, minimum_deviation bigint, largest bigint")
