@@ -139,6 +139,52 @@ def test_grid_alignment_does_not_depend_on_segments(spark, span):
     assert result(span) == result(1 << 20)
 
 
+def plain_asof(rows, w0, w1, step, lo, hi):
+    """Per grid point the last accepted row, by a plain walk over the sorted rows."""
+    last = {}
+    for track, seq, t, v in sorted(rows, key=lambda r: r[1]):
+        if w0 <= t <= w1:
+            n, value = last.get((track, t), (0, None))
+            last[track, t] = (n + 1, v if v is not None else value)
+    out = []
+    for slot in range(lo, hi + 1):
+        g = w0 + slot * step
+        cells = []
+        for track, fine in (("S", lambda v: 0 <= v <= 100), ("R", lambda v: True)):
+            seen = [(t, v, n > 1) for (name, t), (n, v) in last.items() if name == track and t <= g and v is not None and fine(v)]
+            cells.append(max(seen) if seen else None)
+        out.append((slot, *cells))
+    return out
+
+
+@pytest.mark.parametrize("threshold", ["10MB", "-1"])
+@pytest.mark.parametrize("span", [2, 4096])
+def test_dense_case_with_half_of_all_rows(spark, span, threshold):
+    """Case 1 holds half of the rows, at sub-second times, most of them within two slots."""
+    rng = random.Random(23)
+    value = lambda: rng.choice([None, -1.0, 5.0, 50.0, 120.0])
+    rows = {1: [(rng.choice("SR"), i, round(rng.choice([rng.uniform(20, 40), rng.uniform(0, 300)]), 3), value()) for i in range(2000)]}
+    for case in range(2, 22):
+        rows[case] = [(rng.choice("SR"), i, float(rng.randrange(0, 300)), value()) for i in range(100)]
+    s = spark.createDataFrame([(c, *r) for c, own in rows.items() for r in own], "caseid bigint, track string, seq bigint, t double, v double").repartition(6)
+    cases = spark.createDataFrame([(c, 0.0, 300.0) for c in rows], "caseid bigint, w0 double, w1 double")
+    before = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", threshold)
+    try:
+        looks = (align.Lookup("s", "S", 0, 100), align.Lookup("r", "R"))
+        got = align.align_study(s, cases, ("S", "R"), looks, 10.0, before=2, after=1, span=span).where("_home").collect()
+        spans = {r.caseid: (r.s0, r.s1) for r in align.common_span(s, cases, ("S", "R")).collect()}
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", before)
+    for case, own in rows.items():
+        first = {t: next(r for r in own if r[0] == t)[2] for t in "SR"}
+        last = {t: [r for r in own if r[0] == t][-1][2] for t in "SR"}
+        assert spans[case] == (max(first.values()), min(last.values()))
+        lo, hi = int(np.ceil(spans[case][0] / 10 - 1e-12)), int(np.floor(spans[case][1] / 10 + 1e-12))
+        want = plain_asof(own, 0.0, 300.0, 10.0, lo, hi)
+        assert [(r.slot, r.s and tuple(r.s), r.r and tuple(r.r)) for r in sorted(got, key=lambda r: r.slot) if r.caseid == case] == want
+
+
 def test_tree_and_flat_checksums(spark):
     import hashlib
 

@@ -1,9 +1,11 @@
 """Deduplication, fixed grids and causal as-of alignment of several tracks.
 
-The grid as-of needs one shuffle of the recorded rows, by (case, grid segment):
-inside it the rows are deduplicated per timestamp, reduced to one entry per grid
-slot, joined with their exact-timestamp quality value and carried forward, for
-all tracks and rules at once.
+The grid as-of scans the recorded rows once.  They are combined before every
+shuffle: to one row per timestamp (last finite values, duplicates, exact-time
+quality), then to one row per grid slot with the latest accepted row of every
+lookup.  Grid segments hold slots, so their size is bounded by the grid however
+dense the recording is, and no case, segment or second is a hot key.  Values are
+carried forward inside segments and over their borders by one row per segment.
 """
 
 from __future__ import annotations
@@ -16,6 +18,7 @@ from pyspark.sql import functions as F
 
 from tracksieve.functions.columns import is_finite
 from tracksieve.operators.ordered import SEG, dense_rows, segment_of, spread_join
+from tracksieve.session import cut_lineage
 
 GRID_SPAN = 4096
 EPS_GRID = 1e-12
@@ -86,7 +89,11 @@ def common_span(signal: DataFrame, cases: DataFrame, tracks: Sequence[str]) -> D
         own = F.when(F.col("track") == name, F.col("seq"))
         aggs += [F.min_by("t", own).alias(f"_f{i}"), F.max_by("t", own).alias(f"_l{i}")]
     rows = in_window(signal.where(F.col("track").isin(*tracks)), cases)
-    per = rows.groupBy("caseid").agg(*aggs)
+    return _spans(rows.groupBy("caseid").agg(*aggs), cases, tracks)
+
+
+def _spans(per: DataFrame, cases: DataFrame, tracks: Sequence[str]) -> DataFrame:
+    """The common span from each track's first and last time, ``_f<i>`` and ``_l<i>``."""
     all_there = F.lit(True)
     for i in range(len(tracks)):
         all_there = all_there & F.col(f"_f{i}").isNotNull()
@@ -125,6 +132,56 @@ def slot_of(t: Column, anchor: Column, step: float) -> Column:
     return F.when(anchor + (up - 1) * F.lit(step) >= t, up - 1).otherwise(up)
 
 
+def _quoted(text: str) -> str:
+    return "'" + text.replace("\\", "\\\\").replace("'", "\\'") + "'"
+
+
+def slot_table(signal: DataFrame, windows: DataFrame, lookups: Sequence[Lookup], step: float, spans: Sequence[str] = ()) -> DataFrame:
+    """(caseid, slot, <lookup>..., _f<i>, _fs<i>, _l<i>, _ls<i>): one row per case and grid slot with rows in the window.
+
+    Each lookup is a struct (t, v, dup[, q]) of its latest accepted timestamp in the slot.  For
+    every track of ``spans``, _f/_l are the times of its first and last recorded row, _fs/_ls
+    their places in the recording.  All aggregates combine before they are shuffled.
+    """
+    valued = sorted({x.track for x in lookups} | {x.quality_track for x in lookups if x.quality_track})
+    rows = in_window(signal.where(F.col("track").isin(*{*valued, *spans})), windows).select(
+        "caseid", slot_of(F.col("t"), F.col("w0"), step).alias("slot"), "track", "seq", "t", "v")
+    at = {name: i for i, name in enumerate(valued)}
+    # Text expressions: one call each instead of one for every operator inside.
+    finite = "v IS NOT NULL AND NOT isnan(v) AND abs(v) < double('infinity')"
+    per_t = [a for name, i in at.items() for a in (
+        f"max_by(v, CASE WHEN track = {_quoted(name)} AND {finite} THEN seq END) AS _v{i}", f"count_if(track = {_quoted(name)}) > 1 AS _d{i}")]
+    per_t += [f"{f}(CASE WHEN track = {_quoted(name)} THEN seq END) AS _{p}s{i}" for i, name in enumerate(spans) for p, f in (("f", "min"), ("l", "max"))]
+    per_slot, entries = [], []
+    for x in lookups:
+        v, dup, q = f"_v{at[x.track]}", f"_d{at[x.track]}", None
+        ok = [f"{v} IS NOT NULL"] + [f"{v} {op} {float(bound)!r}D" for op, bound in ((">=", x.low), ("<=", x.high)) if bound is not None]
+        if x.quality_track:
+            q = f"_v{at[x.quality_track]}"
+        if x.quality_min is not None:
+            ok, dup = [*ok, f"coalesce({q} >= {float(x.quality_min)!r}D, false)"], f"({dup} OR _d{at[x.quality_track]})"
+        t = f"CASE WHEN {' AND '.join(ok)} THEN t END"
+        fields = {"t": f"max({t})", "v": f"max_by({v}, {t})", "dup": f"max_by({dup}, {t})"} | ({"q": f"max_by({q}, {t})"} if q else {})
+        per_slot += [f"{c} AS _{x.name}_{f}" for f, c in fields.items()]
+        entries.append(f"CASE WHEN _{x.name}_t IS NOT NULL THEN named_struct({', '.join(f"'{f}', _{x.name}_{f}" for f in fields)}) END AS {x.name}")
+    for i in range(len(spans)):
+        per_slot += [f"min_by(t, _fs{i}) AS _f{i}", f"min(_fs{i}) AS _fs{i}", f"max_by(t, _ls{i}) AS _l{i}", f"max(_ls{i}) AS _ls{i}"]
+    slots = rows.groupBy("caseid", "slot", "t").agg(*map(F.expr, per_t)).groupBy("caseid", "slot").agg(*map(F.expr, per_slot))
+    return slots.selectExpr("caseid", "slot", *entries, *[f"_{p}{i}" for i in range(len(spans)) for p in ("f", "fs", "l", "ls")])
+
+
+def align_study(
+    signal: DataFrame, cases: DataFrame, primary: Sequence[str], lookups: Sequence[Lookup], step: float, *,
+    before: int = 0, after: int = 0, span: int = GRID_SPAN,
+) -> DataFrame:
+    """``align_grid`` on the grid of the primary tracks' common span; the recorded rows are scanned once for both."""
+    table = cut_lineage(slot_table(signal, cases, lookups, step, primary))
+    per = table.groupBy("caseid").agg(*[a for i in range(len(primary)) for a in (
+        F.min_by(f"_f{i}", f"_fs{i}").alias(f"_f{i}"), F.max_by(f"_l{i}", f"_ls{i}").alias(f"_l{i}"))])
+    bounds = grid_bounds(_spans(per, cases, primary), step)
+    return _fill(table.select("caseid", "slot", *[x.name for x in lookups]), bounds, [x.name for x in lookups], step, before, after, span)
+
+
 def align_grid(
     signal: DataFrame, bounds: DataFrame, lookups: Sequence[Lookup], step: float, *,
     before: int = 0, after: int = 0, span: int = GRID_SPAN,
@@ -135,74 +192,37 @@ def align_grid(
     (caseid, _seg).  ``before``/``after`` keep that many neighbouring points of
     the next segments (``_home`` false) for row frames over ``point_window()``.
     """
-    tracks = sorted({x.track for x in lookups} | {x.quality_track for x in lookups if x.quality_track})
-    rows = (
-        spread_join(signal.where(F.col("track").isin(*tracks)), bounds, ["caseid"], "seq")
-        .where(F.col("t").between(F.col("w0"), F.col("w1")))
-        .withColumn("slot", slot_of(F.col("t"), F.col("w0"), step))
-        .where(F.col("slot") <= F.col("hi"))
-        .select("caseid", "slot", "track", "seq", "t", "v")
-    )
-    rows = rows.withColumn(SEG, F.explode(F.sequence(segment_of(F.col("slot") - after, span), segment_of(F.col("slot") + before, span))))
-    segs = bounds.select("caseid", "w0", "lo", "hi", F.explode(F.sequence(
-        segment_of(F.col("lo") - after, span), segment_of(F.col("hi") + before, span))).alias(SEG))
+    table = slot_table(signal, bounds, lookups, step)
+    return _fill(table, bounds, [x.name for x in lookups], step, before, after, span)
+
+
+def _fill(slots: DataFrame, bounds: DataFrame, names: Sequence[str], step: float, before: int, after: int, span: int) -> DataFrame:
+    """Grid points of ``bounds`` with the latest entry of ``slots`` at or before each, per name."""
+    rows = slots.withColumn(SEG, F.explode(F.sequence(segment_of(F.col("slot") - after, span), segment_of(F.col("slot") + before, span))))
+    segs = bounds.withColumn(SEG, F.explode(F.sequence(segment_of(F.col("lo") - after, span), segment_of(F.col("hi") + before, span))))
     # A segment travels as one mark and becomes its grid points only after the shuffle.
     first, last = F.greatest(F.col("lo"), F.col(SEG) * span - before), F.least(F.col("hi"), F.col(SEG) * span + (span - 1 + after))
-    marks = segs.select("caseid", SEG, F.struct(first.alias("a"), last.alias("b")).alias("_range"))
-    points = F.when(F.col("_range").isNotNull(), F.sequence(F.col("_range.a"), F.col("_range.b"))).otherwise(F.array("slot"))
+    marks = segs.select("caseid", SEG, "w0", "lo", "hi", first.alias("_a"), last.alias("_b"))
+    points = F.when(F.col("_a").isNotNull(), F.sequence(F.col("_a"), F.col("_b"))).otherwise(F.array("slot"))
+    facts = ("w0", "lo", "hi")
     placed = (
-        rows.unionByName(marks, allowMissingColumns=True).repartition("caseid", SEG)
-        .select("caseid", SEG, F.explode(points).alias("slot"), "track", "seq", "t", "v"))
-    # One row per timestamp: the last finite value and duplicate flag of every track.
-    per_t = placed.groupBy("caseid", SEG, "slot", "t").agg(*[
-        a for i, name in enumerate(tracks) for a in (
-            F.max(F.when((F.col("track") == name) & is_finite("v"), F.struct("seq", "v"))).alias(f"_v{i}"),
-            (F.count_if(F.col("track") == name) > 1).alias(f"_d{i}"))
-    ], F.count_if(F.col("track").isNull()).alias("_mark"))
-    at = {name: i for i, name in enumerate(tracks)}
-
-    def entry(x: Lookup) -> Column:
-        i = at[x.track]
-        v = F.col(f"_v{i}.v")
-        ok, dup = v.isNotNull(), F.col(f"_d{i}")
-        if x.low is not None:
-            ok = ok & (v >= x.low)
-        if x.high is not None:
-            ok = ok & (v <= x.high)
-        if x.quality_min is not None:
-            q = at[x.quality_track]
-            ok, dup = ok & F.coalesce(F.col(f"_v{q}.v") >= x.quality_min, F.lit(False)), dup | F.col(f"_d{q}")
-        fields = [F.col("t"), v.alias("v"), dup.alias("dup")]
-        if x.quality_track:
-            fields.append(F.col(f"_v{at[x.quality_track]}.v").alias("q"))
-        return F.when(ok, F.struct(*fields))
-
-    slots = per_t.groupBy("caseid", SEG, "slot").agg(
-        *[F.max(entry(x)).alias(x.name) for x in lookups], (F.sum("_mark") > 0).alias("_point"))
+        rows.unionByName(marks, allowMissingColumns=True).repartition("caseid", SEG)  # at most the slots and points of one segment
+        .select("caseid", SEG, F.explode(points).alias("slot"), *names, *facts))
+    held = placed.groupBy("caseid", SEG, "slot").agg(*[F.expr(f"max({c}) AS {c}") for c in (*names, *facts)])
     # Carry over segment borders.  The points a segment borrows from the one before
     # must not see that segment's last `before` slots, which they already hold.
-    home = F.col(SEG) == segment_of("slot", span)
-    early = home & (F.col("slot") < (F.col(SEG) + 1) * span - before)
-    edges = slots.groupBy("caseid", SEG).agg(*[
-        a for x in lookups for a in (
-            F.max(F.when(home, F.col(x.name))).alias(f"_all_{x.name}"),
-            F.max(F.when(early, F.col(x.name))).alias(f"_early_{x.name}"))
-    ])
-    by_seg = Window.partitionBy("caseid").orderBy(SEG)
-    older, just = by_seg.rangeBetween(Window.unboundedPreceding, -2), by_seg.rangeBetween(-1, -1)
-    carry = edges.select("caseid", SEG, *[
-        F.greatest(F.max(f"_all_{x.name}").over(older), F.max(f"_early_{x.name}").over(just)).alias(f"_in_{x.name}")
-        for x in lookups
-    ])
-    local = Window.partitionBy("caseid", SEG).orderBy("slot").rowsBetween(Window.unboundedPreceding, 0)
-    filled = slots.select("caseid", SEG, "slot", "_point", *[
-        F.last(x.name, ignorenulls=True).over(local).alias(x.name) for x in lookups])
-    filled = filled.join(carry, ["caseid", SEG], "left").where("_point").select(
-        "caseid", SEG, "slot", *[F.coalesce(F.col(x.name), F.col(f"_in_{x.name}")).alias(x.name) for x in lookups])
-    return filled.join(segs, ["caseid", SEG]).select(
-        "caseid", SEG, "slot", (F.col("w0") + F.col("slot") * F.lit(step)).alias("g"),
-        (F.col("slot") - F.col("lo")).alias("k"), (F.col("hi") - F.col("lo") + 1).alias("n"),
-        (F.col(SEG) == segment_of("slot", span)).alias("_home"), *[x.name for x in lookups])
+    home = f"{SEG} = floor(slot / {span})"
+    early = f"{home} AND slot < ({SEG} + 1) * {span} - {before}"
+    edges = held.groupBy("caseid", SEG).agg(*[
+        F.expr(f"max(CASE WHEN {on} THEN {x} END) AS _{p}_{x}") for x in names for p, on in (("all", home), ("early", early))])
+    older = f"OVER (PARTITION BY caseid ORDER BY {SEG} RANGE BETWEEN UNBOUNDED PRECEDING AND 2 PRECEDING)"
+    just = f"OVER (PARTITION BY caseid ORDER BY {SEG} RANGE BETWEEN 1 PRECEDING AND 1 PRECEDING)"
+    carry = edges.selectExpr("caseid", SEG, *[f"greatest(max(_all_{x}) {older}, max(_early_{x}) {just}) AS _in_{x}" for x in names])
+    local = f"OVER (PARTITION BY caseid, {SEG} ORDER BY slot ROWS UNBOUNDED PRECEDING)"
+    filled = held.selectExpr("caseid", SEG, "slot", *facts, *[f"last({x}, true) {local} AS {x}" for x in names]).where("lo IS NOT NULL")
+    return filled.join(carry, ["caseid", SEG], "left").selectExpr(
+        "caseid", SEG, "slot", f"w0 + slot * {float(step)!r}D AS g", "slot - lo AS k", "hi - lo + 1 AS n", f"{home} AS _home",
+        *[f"coalesce({x}, _in_{x}) AS {x}" for x in names])
 
 
 def point_window(first: int, last: int):

@@ -9,12 +9,12 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tracksieve.functions.columns import candidate_id
 from tracksieve.functions.quantiles import RECORD_QUANTILES, distribution
-from tracksieve.operators.align import EPS_AGE, age, point_window
+from tracksieve.operators.align import EPS_AGE, age
 from tracksieve.operators.ordered import SEG
 
 NEVER = float("inf")
@@ -30,11 +30,15 @@ def cap_class(a: Column, caps: Sequence[float]) -> Column:
     return out
 
 
-def _ages(name: str, blocking: bool) -> tuple[Column, Column]:
+def _cap_class(a: str, caps: Sequence[float]) -> str:
+    """``cap_class`` as text."""
+    return "CASE " + " ".join(f"WHEN {a} <= {float(cap) + EPS_AGE!r}D THEN {i}" for i, cap in enumerate(caps)) + f" ELSE {len(caps)} END"
+
+
+def _ages(name: str, blocking: bool) -> tuple[str, str]:
     """Age of the usable value, and the same only where it comes from a duplicated timestamp (else infinite)."""
-    usable = F.col(name).isNotNull() & ((F.col(f"{name}.v") >= 0) if blocking else F.lit(True))
-    a = F.when(usable, age(name)).otherwise(F.lit(NEVER))
-    return a, F.when(usable & F.col(f"{name}.dup"), age(name)).otherwise(F.lit(NEVER))
+    usable = f"{name} IS NOT NULL" + (f" AND {name}.v >= 0" if blocking else "")
+    return tuple(f"CASE WHEN {on} THEN g - {name}.t ELSE double('infinity') END" for on in (usable, f"{usable} AND {name}.dup"))
 
 
 def endpoint_classes(
@@ -46,33 +50,28 @@ def endpoint_classes(
     hs/ha/hb: worst class over the history of signal and rates; ts: class of the
     target; ds/dr: best class of a duplicate-derived usable point.
     """
-    back = point_window(-(history - 1), 0)
-    ahead = Window.partitionBy("caseid", SEG).orderBy("slot")
-    base = aligned.select("caseid", SEG, "slot", "k", "n", "_home", *[
-        c.alias(f"{p}{x}") for x in (*rules, *rates) for p, c in zip(("a_", "d_"), _ages(x, x in rates))])
-    framed = base.select(
-        "caseid", "k", "n", "_home",
-        *[F.max(f"a_{x}").over(back).alias(f"h_{x}") for x in (*rules, *rates)],
-        *[F.min(f"d_{x}").over(back).alias(f"m_{x}") for x in (*rules, *rates)],
-        *[F.lead(f"{p}{x}", target).over(ahead).alias(f"t{p}{x}") for x in rules for p in ("a_", "d_")])
-    ends = framed.where(F.col("_home") & (F.col("k") >= history - 1) & (F.col("k") < F.col("n") - target))
+    # Text expressions: one call each instead of one for every operator inside.
+    part = f"PARTITION BY caseid, {SEG} ORDER BY slot"
+    back, ahead = f"OVER ({part} ROWS BETWEEN {history - 1} PRECEDING AND CURRENT ROW)", f"OVER ({part})"
+    base = aligned.selectExpr("caseid", SEG, "slot", "k", "n", "_home", *[
+        f"{c} AS {p}{x}" for x in (*rules, *rates) for p, c in zip(("a_", "d_"), _ages(x, x in rates))])
+    framed = base.selectExpr(
+        "caseid", "k", "n", "_home", *[f"max(a_{x}) {back} AS h_{x}" for x in (*rules, *rates)], *[f"min(d_{x}) {back} AS m_{x}" for x in (*rules, *rates)],
+        *[f"lead({p}{x}, {target}) {ahead} AS t{p}{x}" for x in rules for p in ("a_", "d_")])
+    ends = framed.where(f"_home AND k >= {history - 1} AND k < n - {target}")
     a, b = rates
-    shared = {
-        "ha": cap_class(F.col(f"h_{a}"), rate_caps), "hb": cap_class(F.col(f"h_{b}"), rate_caps),
-        "dr": cap_class(F.least(f"m_{a}", f"m_{b}"), rate_caps)}
-    per_rule = F.array(*[F.struct(
-        F.lit(x).alias("rule"), cap_class(F.col(f"h_{x}"), signal_caps).alias("hs"),
-        cap_class(F.col(f"ta_{x}"), signal_caps).alias("ts"),
-        cap_class(F.least(f"m_{x}", f"td_{x}"), signal_caps).alias("ds")) for x in rules])
+    shared = {"ha": (f"h_{a}", rate_caps), "hb": (f"h_{b}", rate_caps), "dr": (f"least(m_{a}, m_{b})", rate_caps)}
+    per_rule = ", ".join(
+        f"named_struct('rule', '{x}', 'hs', {_cap_class(f'h_{x}', signal_caps)}, 'ts', {_cap_class(f'ta_{x}', signal_caps)}, "
+        f"'ds', {_cap_class(f'least(m_{x}, td_{x})', signal_caps)})" for x in rules)
     return (
-        ends.select("caseid", *[c.alias(n) for n, c in shared.items()], F.explode(per_rule).alias("_r"))
+        ends.selectExpr("caseid", *[f"{_cap_class(c, caps)} AS {n}" for n, (c, caps) in shared.items()], f"explode(array({per_rule})) AS _r")
         .groupBy("caseid", "_r.rule", "_r.hs", "ha", "hb", "_r.ts", "_r.ds", "dr").agg(F.count(F.lit(1)).alias("endpoints")))
 
 
 def _candidates(signal_caps: Sequence[float], rate_caps: Sequence[float]) -> Column:
-    return F.array(*[
-        F.struct(F.lit(i).alias("si"), F.lit(sc).cast("bigint").alias("signal_cap"), F.lit(j).alias("ri"), F.lit(rc).cast("bigint").alias("rate_cap"))
-        for i, sc in enumerate(signal_caps) for j, rc in enumerate(rate_caps)])
+    return F.expr("array(" + ", ".join(
+        f"named_struct('si', {i}, 'signal_cap', {int(sc)}L, 'ri', {j}, 'rate_cap', {int(rc)}L)" for i, sc in enumerate(signal_caps) for j, rc in enumerate(rate_caps)) + ")")
 
 
 def _per_candidate(classes: DataFrame, signal_caps: Sequence[float], rate_caps: Sequence[float]) -> DataFrame:
@@ -88,16 +87,10 @@ def sweep_counts(classes: DataFrame, cases: DataFrame, rules: Sequence[str], sig
 
     Cases without any endpoint keep their rows with zero counts.
     """
-    n = F.col("endpoints")
-
-    def total(cond: Column) -> Column:
-        return F.sum(F.when(cond, n).otherwise(0))
-
-    s, a, b, t = (F.col(x) for x in "sabt")
+    cells = {"usable_history": "s AND a AND b", "usable_targets": "t", "usable_windows": "s AND a AND b AND t",
+             **{f"fail_{x}": f"NOT {x}" for x in "sabt"}, "duplicate_affected": "dup"}
     found = _per_candidate(classes, signal_caps, rate_caps).groupBy("caseid", *KEY).agg(
-        F.sum(n).alias("endpoints"), total(s & a & b).alias("usable_history"), total(t).alias("usable_targets"),
-        total(s & a & b & t).alias("usable_windows"), *[total(~F.col(x)).alias(f"fail_{x}") for x in "sabt"],
-        total(F.col("dup")).alias("duplicate_affected"))
+        F.sum("endpoints").alias("endpoints"), *[F.expr(f"sum(CASE WHEN {on} THEN endpoints ELSE 0 END) AS {name}") for name, on in cells.items()])
     expected = cases.select("caseid", F.explode(F.array(*[F.lit(r) for r in rules])).alias("rule"),
                             ).withColumn("_c", F.explode(_candidates(signal_caps, rate_caps))).select(
         "caseid", "rule", "_c.signal_cap", "_c.rate_cap")

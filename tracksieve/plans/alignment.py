@@ -18,15 +18,10 @@ GOOD_SIGNAL = align.Lookup("good", fx.SIG, 0.0, 100.0, fx.QLT, 50.0)
 RATE_LOOKUPS = (align.Lookup("ra", fx.RATE_A), align.Lookup("rb", fx.RATE_B))
 
 
-def bounds(spark: SparkSession, d: str) -> DataFrame:
-    spans = align.common_span(fx.signal(spark, d), fx.cases(spark, d), fx.PRIMARY)
-    return align.grid_bounds(spans, fx.STEP)
-
-
 def grid(spark: SparkSession, d: str, lookups, *, halo: bool = False, span: int = align.GRID_SPAN) -> DataFrame:
     needs_quality = any(x.quality_track for x in lookups)
-    return align.align_grid(
-        fx.signal(spark, d, quality=needs_quality), bounds(spark, d), lookups, fx.STEP,
+    return align.align_study(
+        fx.signal(spark, d, quality=needs_quality), fx.cases(spark, d), fx.PRIMARY, lookups, fx.STEP,
         before=fx.HISTORY - 1 if halo else 0, after=fx.TARGET if halo else 0, span=span)
 
 
