@@ -191,9 +191,47 @@ def test_tree_and_flat_checksums(spark):
     ids = spark.range(0, 3000).select(F.col("id").alias("n"))
     text = "\n".join(map(str, range(3000))) + "\n"
     assert checksums.flat_checksum(ids, "n").first().sha256 == hashlib.sha256(text.encode()).hexdigest()
-    with pytest.raises(Exception, match="use tree_checksum"):
-        checksums.flat_checksum(ids, "n", limit=10).collect()
-    one = checksums.tree_checksum(ids.repartition(7), "n", levels=2).first()
-    two = checksums.tree_checksum(ids.orderBy(F.desc("n")), "n", levels=2).first()
+    one = checksums.tree_checksum(ids.repartition(7), "n").first()
+    two = checksums.tree_checksum(ids.orderBy(F.desc("n")), "n").first()
     assert one == two and one.ids == 3000
-    assert checksums.tree_checksum(ids.where("n <> 5"), "n", levels=2).first().sha256 != one.sha256
+    assert checksums.tree_checksum(ids.where("n <> 5"), "n").first().sha256 != one.sha256
+
+
+@pytest.mark.parametrize("fanout", [4, 1024])
+def test_trees_end_by_themselves(spark, fanout):
+    import hashlib
+
+    def plain(numbers):
+        node = {n: str(n) for n in numbers}
+        level = 0
+        while level == 0 or list(node) != [0]:
+            up = {}
+            for n in sorted(node):
+                up.setdefault(n // fanout, []).append(n)
+            node = {p: node[0] if level and own == [0] else hashlib.sha256(("\n".join(node[n] for n in own) + "\n").encode()).hexdigest() for p, own in up.items()}
+            level += 1
+        return node[0]
+
+    sets = {"a": [0], "b": list(range(5)), "c": [3, 70, 4000, 10 ** 7], "d": list(range(0, 300, 7)), "e": [10 ** 12]}
+    rows = spark.createDataFrame([(k, n) for k, own in sets.items() for n in own], "k string, n bigint").repartition(3)
+    got = {r.k: (r.ids, r.sha256) for r in checksums.tree_checksum(rows, "n", keys=["k"], fanout=fanout).collect()}
+    assert got == {k: (len(own), plain(own)) for k, own in sets.items()}
+    alone = checksums.tree_checksum(rows.where("k = 'b'"), "n", keys=["k"], fanout=fanout).first()
+    assert alone.sha256 == got["b"][1]
+    text = "".join(f"{n}\n" for n in sorted(sets["c"]))
+    assert checksums.flat_checksum(rows.where("k = 'c'"), "n", fanout=fanout).first().sha256 == hashlib.sha256(text.encode()).hexdigest()
+
+
+@pytest.mark.parametrize("width", [5, 63, 64, 200])
+def test_disagreement_of_any_width(spark, width):
+    from tracksieve.operators import sweep
+
+    rng = np.random.default_rng(width)
+    flags = rng.random((90, width)) < rng.random(width)
+    flags[40:60] = flags[0]
+    names = [f"rule{i}" for i in range(width)]
+    wide = spark.createDataFrame([tuple(map(bool, f)) for f in flags], ", ".join(f"{n} boolean" for n in names))
+    want = {(a, b): int((flags[:, i] != flags[:, j]).sum()) for i, a in enumerate(names) for j, b in enumerate(names)}
+    assert {(r.left, r.right): r.disagreements for r in sweep.disagreement(sweep.pass_masks(wide, names), names).collect()} == want
+    long = spark.createDataFrame([(c, n, int(flags[c, i]) * 3) for c in range(90) for i, n in enumerate(names)], "caseid bigint, candidate_id string, usable_windows bigint")
+    assert {(r.left, r.right): r.disagreements for r in sweep.disagreement(sweep.candidate_masks(long, names), names).collect()} == want

@@ -190,9 +190,9 @@ def nul_hash(*parts: Column | str) -> Column:
 
 
 def hash_draw(*parts: Column | str) -> Column:
-    """A portable uniform draw in [0, 2^32) from hashed parts."""
+    """A portable uniform draw in [0, 2^60) from hashed parts."""
     h = F.sha2(F.concat_ws("|", *[as_col(p).cast("string") for p in parts]), 256)
-    return F.conv(F.substring(h, 1, 8), 16, 10).cast("bigint")
+    return F.conv(F.substring(h, 1, 15), 16, 10).cast("bigint")
 
 
 # --- rates, covariate models, response ---------------------------------------

@@ -30,11 +30,11 @@ def compare_files(found: DataFrame, manifest: DataFrame, key: Sequence[str] = ("
     return j.select(*key, verdict.alias("verdict"))
 
 
-def tree_fingerprint(entries: DataFrame, keys: Sequence[str], name: str, line: Column, levels: int = 3) -> DataFrame:
+def tree_fingerprint(entries: DataFrame, keys: Sequence[str], name: str, line: Column) -> DataFrame:
     """Fingerprint per ``keys`` of any number of entries: lines in the order of their name hash, hashed as a tree."""
     h = entries.select(*keys, F.sha2(F.col(name).cast("string"), 256).alias("_h"), line.alias("_line")).withColumn(SEG, hash_segment("_h"))
     numbered = ranked(h, list(keys), ["_h"], "_r").select(*keys, (F.col("_r") - 1).alias("_no"), "_line")
-    return tree_checksum(numbered, "_no", keys=keys, text="_line", levels=levels)
+    return tree_checksum(numbered, "_no", keys=keys, text="_line")
 
 
 def ledger_fold(events: DataFrame, max_attempts: int = 3) -> DataFrame:

@@ -154,38 +154,44 @@ def rate_alignment(aligned: DataFrame, rates: Sequence[str], rate_caps: Sequence
     ).withColumn("usable_fraction", F.col("usable") / F.col("grid_points"))
 
 
+WORD = 63  # flags in one word of a bit set
+
+
+def _words(n: int) -> int:
+    return -(-n // WORD)
+
+
 def pass_masks(flags: DataFrame, names: Sequence[str]) -> DataFrame:
-    """(mask, cases): cases collapsed by their pattern over up to 63 boolean columns."""
-    if len(names) > 63:
-        raise ValueError("at most 63 flags fit one mask")
-    bits = [F.when(F.col(n), F.lit(1 << i)).otherwise(F.lit(0)).cast("bigint") for i, n in enumerate(names)]
-    mask = bits[0]
-    for b in bits[1:]:
-        mask = mask + b
-    return flags.groupBy(mask.alias("mask")).agg(F.count(F.lit(1)).alias("cases"))
+    """(mask, cases): cases collapsed by their pattern over any number of boolean columns, as words of 63 bits."""
+    def word(w: int) -> str:
+        return " | ".join(f"CASE WHEN `{n}` THEN {1 << i}L ELSE 0L END" for i, n in enumerate(names[w * WORD:(w + 1) * WORD]))
+
+    return flags.groupBy(F.expr(f"array({', '.join(word(w) for w in range(_words(len(names))))})").alias("mask")).agg(F.count(F.lit(1)).alias("cases"))
 
 
 def disagreement(masks: DataFrame, names: Sequence[str]) -> DataFrame:
     """Full matrix of pairwise disagreement counts (left, right, disagreements).
 
-    Works on pattern counts: one aggregate row per left flag, no pairs of cases.
+    Works on patterns: a pattern with flag i set becomes, word by word, the bits that differ from
+    i, so one aggregate row per left flag counts all right flags and no pairs of cases exist.
     """
-    left = F.explode(F.array(*[F.struct(F.lit(i).alias("i"), F.lit(n).alias("left")) for i, n in enumerate(names)]))
-    rows = masks.select("mask", "cases", left.alias("_l")).select("mask", "cases", "_l.*")
-    mine = F.getbit("mask", F.col("i"))
-    per = rows.groupBy("left").agg(F.array(*[
-        F.struct(F.lit(n).alias("right"), F.sum(F.when(mine != F.getbit("mask", F.lit(j)), F.col("cases")).otherwise(0)).alias("disagreements"))
-        for j, n in enumerate(names)]).alias("_r"))
-    return per.select("left", F.explode("_r").alias("_r")).select("left", "_r.*")
+    left = masks.select("mask", "cases", F.explode(F.sequence(F.lit(0), F.lit(len(names) - 1))).alias("i"))
+    mine = f"getbit(element_at(mask, cast(i div {WORD} as int) + 1), i % {WORD})"
+    differ = left.selectExpr("i", "cases", f"transform(mask, w -> CASE WHEN {mine} = 1 THEN w ^ {(1 << WORD) - 1}L ELSE w END) AS x")
+    sums = differ.groupBy("i").agg(*[
+        F.expr(f"sum(CASE WHEN getbit(x[{j // WORD}], {j % WORD}) = 1 THEN cases ELSE 0L END) AS _{j}") for j in range(len(names))])
+    label = F.array(*[F.lit(n) for n in names])
+    out = sums.select(F.get(label, F.col("i")).alias("left"), F.posexplode(F.array(*[f"_{j}" for j in range(len(names))])).alias("j", "disagreements"))
+    return out.select("left", F.get(label, F.col("j")).alias("right"), "disagreements")
 
 
 def candidate_masks(counts: DataFrame, candidates: Sequence[str]) -> DataFrame:
-    """(mask, cases) of 'at least one usable window' over the candidates of each case."""
-    place = F.lit(None).cast("bigint")
-    for i, c in enumerate(candidates):
-        place = F.when(F.col("candidate_id") == c, F.lit(1 << i)).otherwise(place)
-    per = counts.groupBy("caseid").agg(F.sum(F.when(F.col("usable_windows") > 0, place).otherwise(0)).alias("mask"))
-    return per.groupBy("mask").agg(F.count(F.lit(1)).alias("cases"))
+    """(mask, cases) of 'at least one usable window' over the candidates of each case; any number of candidates."""
+    place = F.array_position(F.array(*[F.lit(c) for c in candidates]), F.col("candidate_id")) - 1
+    bit = F.when(F.col("usable_windows") > 0, F.expr(f"shiftleft(1L, cast(_at % {WORD} as int))")).otherwise(F.lit(0).cast("bigint"))
+    per = counts.withColumn("_at", place).where(F.col("_at") >= 0).withColumn("_bit", bit).groupBy("caseid").agg(*[
+        F.expr(f"bit_or(CASE WHEN _at div {WORD} = {w} THEN _bit ELSE 0L END) AS _{w}") for w in range(_words(len(candidates)))])
+    return per.groupBy(F.array(*[f"_{w}" for w in range(_words(len(candidates)))]).alias("mask")).agg(F.count(F.lit(1)).alias("cases"))
 
 
 def scenario_confusion(scenarios: DataFrame, counts: DataFrame, minimums: Sequence[int]) -> DataFrame:

@@ -67,11 +67,10 @@ SUMMARY_SQL = sweeps.sweep_sql("SELECT unnest([{'measure':'cases','cases':count(
 
 def cohort_ids(spark: SparkSession, d: str) -> DataFrame:
     """Checksums of the eligible and the ineligible ids."""
-    return checksums.tree_checksum(frozen(spark, d), "caseid", keys=["eligible"], levels=2)
+    return checksums.tree_checksum(frozen(spark, d), "caseid", keys=["eligible"])
 
 
-IDS_SQL = sweeps.sweep_sql("""SELECT eligible, sum(c)::BIGINT AS ids, sha256(string_agg(h, chr(10) ORDER BY p)||chr(10)) AS sha256 FROM (
-  SELECT eligible, caseid//1024 AS p, count(*) AS c, sha256(string_agg(caseid::VARCHAR, chr(10) ORDER BY caseid)||chr(10)) AS h FROM fz GROUP BY 1,2) GROUP BY 1""", **FROZEN_CTE)
+IDS_SQL = sweeps.sweep_sql("SELECT k AS eligible, ids, sha256 FROM ct", **FROZEN_CTE, **fx.tree("ct", "fz", "eligible", "caseid", "caseid::VARCHAR"))
 
 
 def reference(spark: SparkSession, d: str) -> DataFrame:

@@ -206,3 +206,15 @@ def sql(body: str, *needs: str, **more: str) -> str:
         visit(name)
     parts = [f"{n} AS MATERIALIZED ({CTES[n][1]})" for n in done] + [f"{n} AS MATERIALIZED ({b})" for n, b in more.items()]
     return ("WITH " + ",\n".join(parts) + "\n" if parts else "") + body
+
+
+def tree(name: str, src: str, key: str, number: str, line: str, levels: int = 3) -> dict[str, str]:
+    """CTEs of the hash tree of ``src`` by ``key``: the last one, ``name``, has (k, ids, sha256).
+
+    Enough for numbers below 1024 ** levels; a lone block 0 is not hashed again.
+    """
+    out = {f"{name}_0": f"SELECT {key} AS k, {number}//1024 AS p, sha256(string_agg({line}, chr(10) ORDER BY {number})||chr(10)) AS h, count(*) AS c FROM {src} GROUP BY ALL"}
+    for i in range(1, levels):
+        out[f"{name}_{i}"] = (f"SELECT k, x.p//1024 AS p, CASE WHEN count(*)=1 AND max(x.p)=0 THEN max(h) ELSE sha256(string_agg(h, chr(10) ORDER BY x.p)||chr(10)) END AS h, "
+                              f"sum(c) AS c FROM {name}_{i - 1} x GROUP BY k, x.p//1024")
+    return {**out, name: f"SELECT k, c::BIGINT AS ids, h AS sha256 FROM {name}_{levels - 1}"}

@@ -70,24 +70,24 @@ def turns(spark: SparkSession, d: str) -> DataFrame:
 
 def prints(spark: SparkSession, d: str) -> DataFrame:
     line = F.concat_ws("\t", "name", F.col("bytes").cast("string"), "sha")
-    return ig.tree_fingerprint(turns(spark, d), ["conv_id"], "name", line, levels=2)
+    return ig.tree_fingerprint(turns(spark, d), ["conv_id"], "name", line)
 
 
 PRINT_CTES = dict(
     tn="SELECT conv_id, turn||'/'||role AS name, turn||'/'||role||chr(9)||octet_length(encode(text))||chr(9)||sha256(text) AS line FROM conversations",
     nu="SELECT conv_id, line, row_number() OVER (PARTITION BY conv_id ORDER BY sha256(name))-1 AS r FROM tn",
-    fp="""SELECT conv_id, sum(c)::BIGINT AS ids, sha256(string_agg(h, chr(10) ORDER BY b)||chr(10)) AS sha256 FROM (
-      SELECT conv_id, r//1024 AS b, count(*) AS c, sha256(string_agg(line, chr(10) ORDER BY r)||chr(10)) AS h FROM nu GROUP BY 1,2) GROUP BY 1""")
+    **fx.tree("ft", "nu", "conv_id", "r", "line"), fp="SELECT k AS conv_id, ids, sha256 FROM ft")
 
 
 def root_print(spark: SparkSession, d: str) -> DataFrame:
     """Fingerprint of the whole store from the fingerprints of its directories."""
     p = prints(spark, d).withColumn("store", F.lit("conversations"))
-    return ig.tree_fingerprint(p, ["store"], "conv_id", F.concat_ws("\t", F.col("conv_id").cast("string"), "sha256"), levels=2)
+    return ig.tree_fingerprint(p, ["store"], "conv_id", F.concat_ws("\t", F.col("conv_id").cast("string"), "sha256"))
 
 
-ROOT_SQL = sql("""SELECT 'conversations' AS store, sum(c)::BIGINT AS ids, sha256(string_agg(h, chr(10) ORDER BY b)||chr(10)) AS sha256 FROM (SELECT r//1024 AS b, count(*) AS c,
-   sha256(string_agg(line, chr(10) ORDER BY r)||chr(10)) AS h FROM (SELECT conv_id||chr(9)||sha256 AS line, row_number() OVER (ORDER BY sha256(conv_id::VARCHAR))-1 AS r FROM fp) GROUP BY 1)""", **PRINT_CTES)
+ROOT_SQL = sql("SELECT k AS store, ids, sha256 FROM rt", **PRINT_CTES,
+               rl="SELECT 'conversations' AS store, conv_id||chr(9)||sha256 AS line, row_number() OVER (ORDER BY sha256(conv_id::VARCHAR))-1 AS r FROM fp",
+               **fx.tree("rt", "rl", "store", "r", "line"))
 
 
 def store_verify(spark: SparkSession, d: str) -> DataFrame:

@@ -59,7 +59,7 @@ def draws(spark: SparkSession, d: str) -> DataFrame:
 
 DRAW_CTE = dict(
     rk="SELECT caseid, row_number() OVER (ORDER BY sha256('42'||chr(0)||caseid), caseid) AS r, count(*) OVER () AS n FROM rw",
-    dr="SELECT draw, caseid FROM (SELECT i AS draw, ('0x'||substr(sha256('42|'||i),1,8))::BIGINT AS h FROM range(5000) t(i)) JOIN rk ON rk.r=h%rk.n+1")
+    dr="SELECT draw, caseid FROM (SELECT i AS draw, ('0x'||substr(sha256('42|'||i),1,15))::BIGINT AS h FROM range(5000) t(i)) JOIN rk ON rk.r=h%rk.n+1")
 
 
 def draw_order_hash(spark: SparkSession, d: str) -> DataFrame:
@@ -74,5 +74,5 @@ QUERIES = {
     "stratum_extrapolation": Query(extrapolation, EXTRA_SQL),
     "spread_pick": Query(spread, SPREAD_SQL),
     "draws_with_replacement": Query(draws, sql("SELECT draw, caseid FROM dr", **DRAW_CTE)),
-    "draw_order_hash": Query(draw_order_hash, tree_sql(sql("x", **DRAW_CTE), "SELECT ids, sha256 FROM l2", "dr", "1", "draw", "caseid::VARCHAR")),
+    "draw_order_hash": Query(draw_order_hash, tree_sql(sql("x", **DRAW_CTE), "SELECT ids, sha256 FROM tr", "dr", "1", "draw", "caseid::VARCHAR")),
 }

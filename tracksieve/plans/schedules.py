@@ -249,7 +249,7 @@ def bundle(spark: SparkSession, d: str) -> DataFrame:
     age, sex, height, weight = _patient()
     prof = fx.cases(spark, d).select("caseid", age.alias("age"), sex.alias("sex"), height.alias("height"), weight.alias("weight"))
     knots = schedule(spark, d).select("caseid", (F.col("t") / fx.STEP).cast("bigint").alias("n"), F.concat_ws(":", F.col("t").cast("bigint"), F.format_string("%.3f", F.round(F.col("rate") + 1.7e-5, 3))).alias("line"))
-    tree = checksums.tree_checksum(knots, "n", keys=["caseid"], text="line", levels=2).select("caseid", F.col("ids").alias("knots"), F.col("sha256").alias("schedule_sha256"))
+    tree = checksums.tree_checksum(knots, "n", keys=["caseid"], text="line").select("caseid", F.col("ids").alias("knots"), F.col("sha256").alias("schedule_sha256"))
     h = ft.complete_horizon(fx.cases(spark, d), fx.STEP)
     out = prof.join(ft.template_counters(template(spark, d)), "caseid", "left").join(tree, "caseid", "left").join(h, "caseid")
     return out.withColumn("bundle_id", c.nul_hash(F.lit("bundle-v1"), F.lit("seal"), "caseid"))
@@ -257,8 +257,8 @@ def bundle(spark: SparkSession, d: str) -> DataFrame:
 
 BUNDLE_SQL = sch_sql("""SELECT cs.caseid, (18+cs.caseid%70)::DOUBLE AS age, CASE WHEN cs.caseid%2=0 THEN 'male' ELSE 'female' END AS sex, (150+cs.caseid%40)::DOUBLE AS height, (45+cs.caseid%60)::DOUBLE AS weight,
   ctr.* EXCLUDE (caseid), knots, schedule_sha256, floor((w1-w0)/21600)*21600 AS horizon, floor((w1-w0)/21600)*21600>=21600 AS usable, sha256('bundle-v1'||chr(0)||'seal'||chr(0)||cs.caseid) AS bundle_id
-  FROM cs LEFT JOIN ctr USING (caseid) LEFT JOIN (SELECT caseid, sum(c)::BIGINT AS knots, sha256(string_agg(h, chr(10) ORDER BY b)||chr(10)) AS schedule_sha256 FROM (
-    SELECT caseid, n//1024 AS b, count(*) AS c, sha256(string_agg(line, chr(10) ORDER BY n)||chr(10)) AS h FROM (SELECT caseid, (t/21600)::BIGINT AS n, t::BIGINT||':'||printf('%.3f', round(rate+1.7e-5,3)) AS line FROM sc) GROUP BY 1,2) GROUP BY 1) USING (caseid)""", **TPL, ctr=COUNTERS)
+  FROM cs LEFT JOIN ctr USING (caseid) LEFT JOIN (SELECT k AS caseid, ids AS knots, sha256 AS schedule_sha256 FROM kt) USING (caseid)""", **TPL, ctr=COUNTERS,
+                    kl="SELECT caseid, (t/21600)::BIGINT AS n, t::BIGINT||':'||printf('%.3f', round(rate+1.7e-5,3)) AS line FROM sc", **fx.tree("kt", "kl", "caseid", "n", "line"))
 
 QUERIES = {
     "step_schedule": Query(lambda s, d: _r(schedule(s, d)), sch_sql("SELECT caseid, t, round(rate,6)+0.0 AS rate FROM sc")),

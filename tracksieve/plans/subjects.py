@@ -181,16 +181,12 @@ def id_checksums(spark: SparkSession, d: str) -> DataFrame:
     return checksums.tree_checksum(case_split(spark, d), "caseid", keys=["assigned_split"])
 
 
-TREE = """l0 AS (SELECT {k} AS k, {n}//1024 AS p, sha256(string_agg({l}, chr(10) ORDER BY {n})||chr(10)) AS h, count(*) AS c FROM {src} GROUP BY 1,2),
- l1 AS (SELECT k, p//1024 AS p, sha256(string_agg(h, chr(10) ORDER BY l0.p)||chr(10)) AS h, sum(c) AS c FROM l0 GROUP BY 1, l0.p//1024),
- l2 AS (SELECT k, sha256(string_agg(h, chr(10) ORDER BY p)||chr(10)) AS sha256, sum(c)::BIGINT AS ids FROM l1 GROUP BY 1)"""
-
-
 def tree_sql(base: str, body: str, src: str, key: str, number: str, line: str) -> str:
-    return base.rsplit("\n", 1)[0] + ",\n" + TREE.format(k=key, n=number, l=line, src=src) + "\n" + body
+    ctes = ",\n".join(f"{n} AS MATERIALIZED ({b})" for n, b in fx.tree("tr", src, key, number, line).items())
+    return base.rsplit("\n", 1)[0] + ",\n" + ctes + "\n" + body
 
 
-CHECKSUM_SQL = tree_sql(subj_sql("x"), "SELECT k AS assigned_split, ids, sha256 FROM l2", "cp", "assigned_split", "caseid", "caseid::VARCHAR")
+CHECKSUM_SQL = tree_sql(subj_sql("x"), "SELECT k AS assigned_split, ids, sha256 FROM tr", "cp", "assigned_split", "caseid", "caseid::VARCHAR")
 
 
 def flat_checksums(spark: SparkSession, d: str) -> DataFrame:

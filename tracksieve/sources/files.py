@@ -31,7 +31,7 @@ def snapshot_stats(spark: SparkSession, path: str) -> DataFrame:
     from tracksieve.operators.integrity import list_files, tree_fingerprint
 
     f = list_files(spark, path, content=True).where(~F.col("name").startswith("_")).withColumn("store", F.lit("snapshot"))
-    tree = tree_fingerprint(f, ["store"], "name", F.col("sha256"), levels=2)
+    tree = tree_fingerprint(f, ["store"], "name", F.col("sha256"))
     size = f.groupBy("store").agg(F.count(F.lit(1)).alias("files"), F.sum("bytes").alias("bytes"))
     return size.join(tree, "store").select("files", "bytes", "sha256")
 
