@@ -158,10 +158,10 @@ def test_hamilton_quotas_give_spare_slots_by_remainder_then_order(spark):
 def test_schedule_merges_equal_rates_and_starts_at_zero(spark):
     obs = spark.createDataFrame([(1, 5.0, 2.0), (1, 7.0, 2.0), (1, 9.0, 0.0), (2, 0.0, 0.0), (2, 3.0, 1.0)], "caseid bigint, t double, v double")
     cases = window(spark, 0, 20).unionByName(window(spark, 0, 20, 2)).unionByName(window(spark, 0, 20, 3))
-    s = features.step_schedule(obs, cases, F.col("v"), span=2.0)
+    s = features.step_schedule(obs, cases, F.col("v"), rows=2)
     got = sorted((r.caseid, r.t, r.rate) for r in s.collect())
     assert got == [(1, 0.0, 0.0), (1, 5.0, 2.0), (1, 9.0, 0.0), (2, 0.0, 0.0), (2, 3.0, 1.0), (3, 0.0, 0.0)]
-    iv = features.schedule_intervals(s, cases, span=2.0)
+    iv = features.schedule_intervals(s, cases, rows=2)
     d = {r.caseid: r.total_amount for r in features.dose_integrals(iv, minute=1.0).collect()}
     assert d == {1: 8.0, 2: 17.0, 3: 0.0}
 

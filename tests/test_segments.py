@@ -235,3 +235,32 @@ def test_disagreement_of_any_width(spark, width):
     assert {(r.left, r.right): r.disagreements for r in sweep.disagreement(sweep.pass_masks(wide, names), names).collect()} == want
     long = spark.createDataFrame([(c, n, int(flags[c, i]) * 3) for c in range(90) for i, n in enumerate(names)], "caseid bigint, candidate_id string, usable_windows bigint")
     assert {(r.left, r.right): r.disagreements for r in sweep.disagreement(sweep.candidate_masks(long, names), names).collect()} == want
+
+
+@pytest.mark.parametrize("rows,cells", [(1, 3), (40, 8), (1000, 4096)])
+def test_balanced_segments_follow_the_rows(spark, rows, cells):
+    rng = np.random.default_rng(8)
+    dense = np.concatenate([1.7e9 + np.arange(1500) * 1e-4, [0.0, 5.0, 2e9], [7.5] * 6])
+    t = {1: dense, 2: rng.permutation(300) * 10.0, 3: np.array([4.0])}
+    df = spark.createDataFrame([(k, float(x), i) for k, v in t.items() for i, x in enumerate(rng.permutation(v))], "k bigint, o double, n bigint").repartition(4)
+    got = od.balanced(df, ["k"], "o", rows, cells).collect()
+    assert sorted((r.k, r.n) for r in got) == sorted((r.k, r.n) for r in df.collect())
+    for k in t:
+        mine = sorted((r.o, r[od.SEG]) for r in got if r.k == k)
+        assert [s for _, s in mine] == sorted(s for _, s in mine)
+        sizes = {s: [o for o, x in mine if x == s] for s in {s for _, s in mine}}
+        assert all(len(v) <= 2 * rows or len(set(v)) == 1 for v in sizes.values())
+        assert all(sum(1 for o, _ in mine if o < min(v)) == s for s, v in sizes.items())
+
+
+def test_asof_at_any_points_of_a_dense_hot_key(spark):
+    rng = np.random.default_rng(12)
+    obs = {1: np.unique(np.round(50 + rng.random(1500) * 0.2, 4)), 2: np.arange(0.0, 200.0, 3.0)}
+    points = {1: np.concatenate([50 + rng.random(400) * 0.2, [0.0, 99.0]]), 2: rng.random(50) * 220 - 10}
+    o = spark.createDataFrame([(k, float(t), float(i)) for k, v in obs.items() for i, t in enumerate(v)], "k bigint, t double, v double")
+    p = spark.createDataFrame([(k, float(g)) for k, v in points.items() for g in v], "k bigint, g double")
+    got = {(r.k, r.g): r.obs and (r.obs.t, r.obs.v) for r in align.align_points(o, p, ["k"], rows=30).collect()}
+    for k, v in points.items():
+        for g in v:
+            i = int(np.searchsorted(obs[k], g, side="right")) - 1
+            assert got[k, float(g)] == ((obs[k][i], float(i)) if i >= 0 else None)

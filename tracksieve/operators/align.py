@@ -17,7 +17,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tracksieve.functions.columns import is_finite
-from tracksieve.operators.ordered import SEG, dense_rows, segment_of, spread_join
+from tracksieve.operators.ordered import SEG, SPAN, balanced, dense_rows, last_known, segment_of, spread_join
 from tracksieve.session import cut_lineage
 
 GRID_SPAN = 4096
@@ -280,21 +280,19 @@ def usable_windows(aligned: DataFrame, signal: Column, rates: Sequence[Column],
         F.count_if(endpoint & F.col("_ready") & F.col("_ahead")).alias("usable_windows"))
 
 
-def align_points(obs: DataFrame, points: DataFrame, keys: Sequence[str], span: float) -> DataFrame:
+def align_points(obs: DataFrame, points: DataFrame, keys: Sequence[str], rows: int = SPAN) -> DataFrame:
     """General backward as-of: each point gets struct ``obs`` (t, payload...) of the latest row at or before it.
 
     ``obs`` has ``keys``, ``t`` (unique per key) and payload columns; ``points``
-    has ``keys``, ``g`` and any others.  Time segments of ``span`` seconds.
+    has ``keys``, ``g`` and any others.  Segments hold about ``rows`` of both, however dense they are.
     """
-    from tracksieve.operators.ordered import last_known, segmented
-
     payload = [c for c in obs.columns if c not in keys]
     others = [c for c in points.columns if c not in keys]
     left = obs.select(*keys, F.col("t").alias("_o"), F.lit(0).alias("_kind"),
                       F.struct(*payload).alias("obs"), F.lit(None).cast(points.select(F.struct(*others)).schema[0].dataType).alias("_p"))
     right = points.select(*keys, F.col("g").alias("_o"), F.lit(1).alias("_kind"),
                           F.lit(None).cast(left.schema["obs"].dataType).alias("obs"), F.struct(*others).alias("_p"))
-    both = segmented(left.unionByName(right), "_o", span)
+    both = balanced(left.unionByName(right), keys, "_o", rows)
     both = both.withColumn("_ord", F.struct("_o", "_kind"))
     return last_known(both, keys, "_ord", {"obs": F.col("obs")}).where(F.col("_kind") == 1).select(
         *keys, "_p.*", "obs")

@@ -9,13 +9,12 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tracksieve.functions.columns import rate_constants
-from tracksieve.operators.ordered import SEG, dense_rows, next_row, previous_row, running_sum, segmented, spread_join, with_halo
+from tracksieve.operators.ordered import SEG, SPAN, balanced, dense_rows, next_row, previous_row, running_sum, segmented, spread_join, with_halo
 
-TIME_SPAN = 86400.0 * 365  # seconds of relative time per segment; knots are distinct in time
 STEP_SPAN = 1 << 16
 
 
-def step_schedule(obs: DataFrame, cases: DataFrame, rate: Column, span: float = TIME_SPAN) -> DataFrame:
+def step_schedule(obs: DataFrame, cases: DataFrame, rate: Column, rows: int = SPAN) -> DataFrame:
     """Right-continuous knots (caseid, t, rate) in relative seconds.
 
     ``obs`` (caseid, t, ...) is unique per timestamp; rows whose ``rate`` is null
@@ -27,13 +26,13 @@ def step_schedule(obs: DataFrame, cases: DataFrame, rate: Column, span: float =
     first = r.groupBy("caseid").agg(F.min("t").alias("_f"))
     zero = cases.select("caseid").join(first, "caseid", "left").where(F.col("_f").isNull() | (F.col("_f") > 0)).select(
         "caseid", F.lit(0.0).alias("t"), F.lit(0.0).alias("rate"))
-    p = previous_row(segmented(r.unionByName(zero), "t", span), ["caseid"], "t", ["rate"])
+    p = previous_row(balanced(r.unionByName(zero), ["caseid"], "t", rows), ["caseid"], "t", ["rate"])
     return p.where(~F.col("rate").eqNullSafe(F.col("prev.rate"))).select("caseid", "t", "rate")
 
 
-def schedule_intervals(schedule: DataFrame, cases: DataFrame, span: float = TIME_SPAN) -> DataFrame:
+def schedule_intervals(schedule: DataFrame, cases: DataFrame, rows: int = SPAN) -> DataFrame:
     """(caseid, t_from, t_to, rate, horizon): each knot lasts until the next one or the horizon."""
-    n = next_row(segmented(schedule, "t", span), ["caseid"], "t", ["t"])
+    n = next_row(balanced(schedule, ["caseid"], "t", rows), ["caseid"], "t", ["t"])
     h = cases.select("caseid", (F.col("w1") - F.col("w0")).alias("horizon"))
     return spread_join(n, h, ["caseid"], "t").select(
         "caseid", F.col("t").alias("t_from"), F.coalesce(F.col("next.t"), F.col("horizon")).alias("t_to"), "rate", "horizon")

@@ -17,6 +17,8 @@ from collections.abc import Mapping, Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from tracksieve.session import cut_lineage
+
 SEG = "_seg"
 SPAN = 1 << 20
 
@@ -30,6 +32,39 @@ def segmented(df: DataFrame, order: str, span: float = SPAN) -> DataFrame:
     return df.withColumn(SEG, segment_of(order, span))
 
 
+def balanced(df: DataFrame, keys: Sequence[str], order: str, rows: int = SPAN, cells: int = 4096, _depth: int = 0) -> DataFrame:
+    """Add segments of about ``rows`` rows each, cut where the rows of a key are, for an order of any density.
+
+    Each key's range of ``order`` is cut into ``cells`` even cells, whose counts combine
+    map-side; neighbouring cells join up to a segment, and a cell with too many rows is cut
+    again within its own range.  Only rows that tie in ``order`` cannot be parted.  Segments are
+    numbered by the rows before them, so they ascend with the order.  Keys are not null.
+    """
+    keys = list(keys)
+    cell, start = f"_cell{_depth}", f"_start{_depth}"
+    df = cut_lineage(df)  # read by every step below
+    ranges = df.groupBy(*keys).agg(F.min(order).alias("_lo"), F.max(order).alias("_hi"))
+    if not _depth and (df.groupBy(*keys).count().agg(F.max("count")).first()[0] or 0) <= rows:
+        return df.withColumn(SEG, F.lit(0).cast("bigint"))  # every key is one segment
+    share = (F.col(order) - F.col("_lo")) / (F.col("_hi") - F.col("_lo"))
+    placed = spread_join(df, ranges, keys, order).withColumn(
+        cell, F.when(F.col("_hi") > F.col("_lo"), F.floor(share * F.lit(cells - 1))).otherwise(0).cast("bigint")).drop("_lo", "_hi")
+    sizes = placed.groupBy(*keys, cell).agg(F.count(F.lit(1)).alias("_n"), (F.min(order) < F.max(order)).alias("_wide"))
+    by = Window.partitionBy(*keys).orderBy(cell)
+    before = F.coalesce(F.sum("_n").over(by.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    counted = sizes.select(*keys, cell, before.alias("_before"), ((F.col("_n") > rows) & F.col("_wide")).alias("_crowded"))
+    group = F.floor(F.col("_before") / rows)
+    opens = F.col("_crowded") | F.coalesce(F.lag("_crowded").over(by) | (F.lag(group).over(by) != group), F.lit(True))
+    cuts = cut_lineage(counted.select(*keys, cell, "_crowded", F.when(opens, F.col("_before")).alias("_open")).select(
+        *keys, cell, "_crowded", F.last("_open", ignorenulls=True).over(by.rowsBetween(Window.unboundedPreceding, 0)).alias(start)))
+    found = spread_join(placed, cuts, [*keys, cell], order).drop(cell)
+    calm = found.where(~F.col("_crowded")).drop("_crowded").withColumnRenamed(start, SEG)
+    if cuts.where("_crowded").isEmpty():
+        return calm
+    inner = balanced(found.where("_crowded").drop("_crowded"), [*keys, start], order, rows, cells, _depth + 1)
+    return calm.unionByName(inner.withColumn(SEG, F.col(start) + F.col(SEG)).drop(start))
+
+
 def fits_broadcast(df: DataFrame) -> bool:
     """Whether Catalyst's size estimate of ``df`` is below the session's broadcast threshold (no job runs)."""
     limit = df.sparkSession.conf.get("spark.sql.autoBroadcastJoinThreshold", "10MB")

@@ -58,7 +58,7 @@ def steps(spark: SparkSession, d: str) -> DataFrame:
 def rate_at(spark: SparkSession, d: str) -> DataFrame:
     """The schedule's rate at each signal time (general as-of on knots)."""
     points = fx.cases(spark, d).join(deduped(spark, d, fx.SIG), "caseid").select("caseid", (F.col("t") - F.col("w0")).alias("g"))
-    found = align.align_points(schedule(spark, d), points, ["caseid"], ft.TIME_SPAN)
+    found = align.align_points(schedule(spark, d), points, ["caseid"])
     return _r(found.select("caseid", "g", F.col("obs.rate").alias("rate"), F.col("obs.t").alias("knot")))
 
 
