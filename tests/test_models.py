@@ -62,20 +62,79 @@ def test_feasibility_equals_the_list_of_all_pairs(spark, sizes):
     assert r.minimum_deviation == reachable_best(sizes) and r.exact_joint == (r.minimum_deviation == 0)
 
 
-def test_stream_marks_late_events_and_keeps_state(spark, tmp_path):
-    schema = "caseid bigint, seq bigint, t double, v double, quality double"
-    folder, out = str(tmp_path / "in"), str(tmp_path / "out")
+EVENTS = "caseid bigint, seq bigint, ts timestamp, t double, v double, quality double"
+
+
+def stream_rows(n=60, seed=3):
+    rng = np.random.default_rng(seed)
+    pick = lambda *x: x[rng.integers(len(x))]
+    return sorted(((int(rng.integers(1, 4)), i, float(rng.integers(0, 900)), pick(None, 50.0, 70.0, 120.0), pick(None, 10.0, 60.0, 90.0)) for i in range(n)), key=lambda r: r[2] + rng.random() * 30)
+
 
-    def drain(rows):
-        spark.createDataFrame(rows, schema).coalesce(1).write.mode("append").parquet(folder)
-        s = streams.acceptance_stream(spark.readStream.schema(schema).parquet(folder), 20.0, 30.0)
-        streams.run_to_table(s, out, str(tmp_path / "state"), "append")
+def plain_acceptance(rows, cap, clip):
+    out, good = {}, {}
+    for c, seq, t, v, q in sorted(rows, key=lambda r: (r[2], r[1])):
+        why = ("explicit_missing_event" if v is None else "signal_out_of_range" if not 0 <= v <= 100 else "quality_missing_exact_timestamp" if q is None
+               else "quality_below_threshold" if q < 50 else "available")
+        if why == "available":
+            good[c] = (t, v)
+        gt, gv = good.get(c, (None, None))
+        if gt is not None and t - gt <= cap:
+            out[seq] = (gv, 1.0, min(t - gt, clip), "available")
+        else:
+            out[seq] = (0.0, 0.0, 0.0, why if gt is None or t > gt else "stale_beyond_cap")
+    return out
 
-    drain([(1, 1, 0.0, 50.0, 60.0), (1, 2, 10.0, 70.0, 10.0)])
-    drain([(1, 3, 5.0, 40.0, 90.0), (1, 4, 40.0, 120.0, 90.0), (2, 5, 1.0, 30.0, None)])
-    got = {r.seq: (r.value, r.mask, r.reason) for r in spark.read.parquet(out).collect()}
-    assert got == {1: (50.0, 1.0, "available"), 2: (50.0, 1.0, "available"), 3: (0.0, 0.0, "late"),
-                   4: (0.0, 0.0, "signal_out_of_range"), 5: (0.0, 0.0, "quality_missing_exact_timestamp")}
+
+def feed(spark, rows, folder, files):
+    """Rows in arrival order as so many files, one after the other."""
+    stamp = F.timestamp_seconds(F.col("t") + 86400.0)
+    for part in np.array_split(np.arange(len(rows)), files):
+        df = spark.createDataFrame([rows[i] for i in part], "caseid bigint, seq bigint, t double, v double, quality double")
+        df.select("caseid", "seq", stamp.alias("ts"), "t", "v", "quality").coalesce(1).write.mode("append").parquet(folder)
+
+
+@pytest.mark.parametrize("files", [1, 10])
+def test_acceptance_stream_is_the_same_in_one_batch_and_in_ten(spark, tmp_path, files):
+    rows = stream_rows()
+    folder, out = str(tmp_path / "in"), str(tmp_path / "out")
+    feed(spark, rows, folder, files)
+    streams.close_source(spark, folder, EVENTS)
+    source = spark.readStream.schema(EVENTS).option("maxFilesPerTrigger", 1).parquet(folder)
+    streams.append_to_table(streams.acceptance_stream(source, 20.0, 15.0, delay="60 seconds", base=86400.0), out, str(tmp_path / "state"))
+    got = spark.read.parquet(out).collect()
+    assert len(got) == len(rows)
+    assert {r.seq: (r.value, r.mask, r.age, r.reason) for r in got} == plain_acceptance(rows, 20.0, 15.0)
+    left = spark.read.format("statestore").load(str(tmp_path / "state"))
+    assert left.count() == 0  # every case's state has ended
+
+
+@pytest.mark.parametrize("files", [1, 10])
+def test_sessions_and_ledger_parts_are_the_same_in_one_batch_and_in_ten(spark, tmp_path, files):
+    rows = stream_rows(80, 5)
+    folder = str(tmp_path / "in")
+    feed(spark, rows, folder, files)
+    source = lambda: spark.readStream.schema(EVENTS).option("maxFilesPerTrigger", 1).parquet(folder)
+    runs = streams.session_stream(source(), F.col("seq") >= 0, "20 seconds", "60 seconds")
+    as_task = F.col("caseid").alias("task"), "seq", F.col("v").cast("string").alias("status"), (F.col("quality") > 50).alias("retryable")
+    streams.add_parts(source().select(*as_task), streams.ledger_parts, str(tmp_path / "parts"), str(tmp_path / "s2"))
+    ledger = {r.task: r.asDict() for r in streams.ledger_table(spark.read.parquet(str(tmp_path / "parts"))).collect()}
+    whole = streams.ledger_parts(spark.read.parquet(folder).select(*as_task)).collect()
+    assert ledger == {r.task: r.asDict() for r in whole}
+    streams.close_source(spark, folder, EVENTS)
+    streams.append_to_table(runs, str(tmp_path / "runs"), str(tmp_path / "s1"))
+    got = sorted((r.caseid, r.first_ts.timestamp() - 86400, r.last_ts.timestamp() - 86400, r.rows) for r in spark.read.parquet(str(tmp_path / "runs")).collect())
+    want = []
+    for c in sorted({r[0] for r in rows}):
+        times = sorted(r[2] for r in rows if r[0] == c)
+        runs_ = [[times[0]]]
+        for t in times[1:]:
+            if t - runs_[-1][-1] <= 20:
+                runs_[-1].append(t)
+            else:
+                runs_.append([t])
+        want += [(c, x[0], x[-1], len(x)) for x in runs_]
+    assert got == want
 
 
 def test_shared_folder_follows_the_session(spark):

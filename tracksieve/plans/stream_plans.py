@@ -1,4 +1,4 @@
-"""Streaming queries: driver rows as a file stream, drained with availableNow, then read as a table."""
+"""Streaming queries: driver rows as a stream of several batches, drained with availableNow, then read as a table."""
 
 from __future__ import annotations
 
@@ -13,22 +13,33 @@ from tracksieve.plans.source_plans import scratch
 from tracksieve.streaming import streams as st
 
 
-def _as_stream(spark: SparkSession, rows: DataFrame, name: str) -> DataFrame:
+PARTS = 5
+BASE = 1704067200.0  # event times count from 2024-01-01
+
+
+def _as_stream(spark: SparkSession, rows: DataFrame, name: str, order: str, close: bool = False) -> DataFrame:
+    """The rows as a stream of ``PARTS`` files that come one after the other, roughly in ``order``, a batch each."""
     path = scratch(spark, name)
-    rows.write.parquet(path)
-    return spark.readStream.schema(rows.schema).parquet(path)
+    cuts = rows.select(F.col(order).cast("double").alias("_x")).agg(F.min("_x"), F.max("_x")).first()
+    place = F.least(F.floor((F.col(order).cast("double") - cuts[0]) / max(cuts[1] - cuts[0], 1.0) * PARTS), F.lit(PARTS - 1))
+    for part in range(PARTS):
+        rows.where(place == part).coalesce(2).write.mode("append").parquet(path)
+    if close:
+        st.close_source(spark, path, ", ".join(f"{n} {t}" for n, t in rows.dtypes))
+    return spark.readStream.schema(rows.schema).option("maxFilesPerTrigger", 2).parquet(path)
 
 
-def _drain(spark: SparkSession, stream: DataFrame, name: str, mode: str) -> DataFrame:
+def _appended(spark: SparkSession, stream: DataFrame, name: str) -> DataFrame:
     out = scratch(spark, f"{name}-out")
-    st.run_to_table(stream, out, scratch(spark, f"{name}-state"), mode)
+    st.append_to_table(stream, out, scratch(spark, f"{name}-state"))
     return spark.read.schema(stream.schema).parquet(out)
 
 
 def acceptance(spark: SparkSession, d: str) -> DataFrame:
-    e = al.exact_ts_join(spark, d).select("caseid", F.col("t").cast("bigint").alias("seq"), "t", "v", "quality")
-    s = st.acceptance_stream(_as_stream(spark, e, "events"), al.SIGNAL_CAP, al.AGE_CLIP)
-    return _r(_drain(spark, s, "acceptance", "append"))
+    e = al.exact_ts_join(spark, d).select(
+        "caseid", F.col("t").cast("bigint").alias("seq"), F.timestamp_seconds(F.col("t") + BASE).alias("ts"), "t", "v", "quality")
+    s = st.acceptance_stream(_as_stream(spark, e, "events", "t", close=True), al.SIGNAL_CAP, al.AGE_CLIP, delay="7 days", base=BASE)
+    return _r(_appended(spark, s, "acceptance"))
 
 
 ACCEPTANCE_SQL = fx.sql(f"""SELECT caseid, t::BIGINT AS seq, t, CASE WHEN sh THEN gv ELSE 0 END AS value, CASE WHEN sh THEN 1.0 ELSE 0.0 END::DOUBLE AS mask, CASE WHEN sh THEN least(t-gt,{al.AGE_CLIP}) ELSE 0 END::DOUBLE AS age,
@@ -40,7 +51,9 @@ ACCEPTANCE_SQL = fx.sql(f"""SELECT caseid, t::BIGINT AS seq, t, CASE WHEN sh THE
 
 def ledger(spark: SparkSession, d: str) -> DataFrame:
     rows = ip.ledger(spark, d).select("task", "seq", "status", "retryable")
-    return _drain(spark, st.ledger_stream(_as_stream(spark, rows, "ledger")), "ledger", "complete")
+    out = scratch(spark, "ledger-out")
+    st.add_parts(_as_stream(spark, rows, "ledger", "seq"), st.ledger_parts, out, scratch(spark, "ledger-state"))
+    return st.ledger_table(spark.read.parquet(out))
 
 
 LEDGER_SQL = ip.sql("SELECT task, count(*)::BIGINT AS attempts, max(seq) AS last_seq, arg_max(status,seq) AS last_status, arg_max(retryable,seq) AS last_retryable FROM lg GROUP BY 1")
@@ -48,7 +61,7 @@ LEDGER_SQL = ip.sql("SELECT task, count(*)::BIGINT AS attempts, max(seq) AS last
 
 def sessions(spark: SparkSession, d: str) -> DataFrame:
     rows = fx.table(spark, d, "events").select(F.col("user_id").alias("caseid"), F.col("ts").cast("timestamp").alias("ts"), "value")
-    s = _drain(spark, st.session_stream(_as_stream(spark, rows, "sessions"), F.col("value") > 20, "6 hours"), "sessions", "complete")
+    s = _appended(spark, st.session_stream(_as_stream(spark, rows, "sessions", "ts", close=True), F.col("value") > 20, "6 hours", "7 days"), "sessions")
     return s.select("caseid", "rows", (F.unix_micros("last_ts") - F.unix_micros("first_ts")).alias("span_micros"))
 
 

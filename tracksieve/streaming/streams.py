@@ -1,81 +1,126 @@
-"""Structured Streaming forms of the event-by-event operators."""
+"""Structured Streaming forms of the event-by-event operators.
+
+Results do not depend on how rows arrive in micro-batches, as long as rows are not older than
+the watermark: events wait for the watermark and are then taken in event time, state ends with
+the events it waits for, and outputs are appended or added up, never rewritten as a whole.
+"""
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
+from pyspark.sql.types import StructType
 
 ACCEPTANCE = "caseid bigint, seq bigint, t double, value double, mask double, age double, reason string"
-_STATE = "last_t double, last_reason string, good_t double, good_v double"
-
-
-def acceptance_stream(events: DataFrame, cap: float, clip: float, threshold: float = 50.0) -> DataFrame:
-    """What is visible at each arriving event: value, mask, age and reason.
-
-    ``events`` is a stream of (caseid, seq, t, v, quality).  State per case: the
-    latest raw event and the latest accepted one.  Inside a micro-batch events
-    are taken in time order; one older than the state is reported ``late`` and
-    changes nothing.
+#: The latest accepted event, and the events that wait for the watermark.
+_STATE = "good_t double, good_v double, t array<double>, seq array<bigint>, v array<double>, quality array<double>"
+
+
+def _visible(case: int, events: pd.DataFrame, good: tuple, cap: float, clip: float, threshold: float) -> tuple[pd.DataFrame, tuple]:
+    """What is visible at each event, in time order, and the latest accepted event afterwards."""
+    t, v, q = (events[c].to_numpy(dtype=float) for c in ("t", "v", "quality"))
+    reason = np.select(
+        [np.isnan(v), (v < 0) | (v > 100), np.isnan(q), q < threshold],
+        ["explicit_missing_event", "signal_out_of_range", "quality_missing_exact_timestamp", "quality_below_threshold"], "available").astype(object)
+    at = np.maximum.accumulate(np.where(reason == "available", np.arange(len(t)), -1))
+    start = [np.nan if x is None else x for x in good]
+    seen_t, seen_v = (np.where(at >= 0, x[at], s) for x, s in zip((t, v), start))
+    age = t - seen_t
+    shown = age <= cap
+    out = pd.DataFrame({
+        "caseid": case, "seq": events["seq"].astype("int64"), "t": t, "value": np.where(shown, seen_v, 0.0), "mask": shown.astype(float),
+        "age": np.where(shown, np.minimum(age, clip), 0.0),
+        "reason": np.where(shown, "available", np.where(np.isnan(seen_t) | (t > seen_t), reason, "stale_beyond_cap"))})
+    return out, (float(t[at[-1]]), float(v[at[-1]])) if at[-1] >= 0 else good
+
+
+def acceptance_stream(events: DataFrame, cap: float, clip: float, threshold: float = 50.0, delay: str = "1 day", base: float = 0.0, keep: float | None = None) -> DataFrame:
+    """What is visible at each event: value, mask, age and reason.
+
+    ``events`` is a stream of (caseid, seq, ts, t, v, quality) where ``ts`` is the timestamp
+    of ``base + t`` seconds, after 1970.  An event waits until the watermark (``delay`` behind the latest one) has
+    passed it; then all waiting events before it have come, and they are taken in time order.
+    Older events are dropped and counted by Spark.  A case's state ends when nothing waits and
+    ``keep`` seconds (the cap, if not given) have passed its latest accepted event, which no later
+    event can then see.  Rows without a time ``t`` only move the watermark.
     """
+    keep = cap if keep is None else keep
 
     def step(key, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        last_t, last_reason, good_t, good_v = state.get if state.exists else (None, None, None, None)
-        pdf = pd.concat(list(batches), ignore_index=True).sort_values(["t", "seq"], kind="stable").reset_index(drop=True)
-        t, v, q = (pdf[c].to_numpy(dtype=float) for c in ("t", "v", "quality"))
-        late = t < last_t if last_t is not None else np.zeros(len(pdf), dtype=bool)
-        reason = np.select(
-            [np.isnan(v), (v < 0) | (v > 100), np.isnan(q), q < threshold],
-            ["explicit_missing_event", "signal_out_of_range", "quality_missing_exact_timestamp", "quality_below_threshold"], "available").astype(object)
-        accepted = (reason == "available") & ~late
-        at = np.maximum.accumulate(np.where(accepted, np.arange(len(pdf)), -1)) if len(pdf) else np.array([], dtype=int)
-        start_t, start_v = (np.nan, np.nan) if good_t is None else (good_t, good_v)
-        seen_t, seen_v = np.where(at >= 0, t[at], start_t), np.where(at >= 0, v[at], start_v)
-        age = t - seen_t
-        shown = age <= cap
-        out_reason = np.where(shown, "available", np.where(np.isnan(seen_t) | (t > seen_t), reason, "stale_beyond_cap"))
-        out = pd.DataFrame({
-            "caseid": key[0], "seq": pdf["seq"], "t": t, "value": np.where(shown, seen_v, 0.0), "mask": shown.astype(float),
-            "age": np.where(shown, np.minimum(age, clip), 0.0), "reason": out_reason})
-        out.loc[late, ["value", "mask", "age"]] = 0.0
-        out.loc[late, "reason"] = "late"
-        if (~late).any():
-            i = int(np.flatnonzero(~late)[-1])
-            last_t, last_reason = float(t[i]), str(reason[i])
-            if at[i] >= 0:
-                good_t, good_v = float(t[at[i]]), float(v[at[i]])
-        state.update((last_t, last_reason, good_t, good_v))
-        yield out
-
-    return events.groupBy("caseid").applyInPandasWithState(step, ACCEPTANCE, _STATE, "append", GroupStateTimeout.NoTimeout)
-
-
-def ledger_stream(events: DataFrame) -> DataFrame:
-    """Running attempts and last status per task over a stream of (task, seq, status, retryable)."""
-    last = F.max_by(F.struct("status", "retryable"), "seq")
-    return events.groupBy("task").agg(F.count(F.lit(1)).alias("attempts"), F.max("seq").alias("last_seq"), last.alias("_l")).select(
-        "task", "attempts", "last_seq", F.col("_l.status").alias("last_status"), F.col("_l.retryable").alias("last_retryable"))
-
-
-def session_stream(events: DataFrame, match, gap: str, watermark: str = "0 seconds") -> DataFrame:
+        columns = ["t", "seq", "v", "quality"]
+        good, waiting = (None, None), []
+        if state.exists:
+            good, waiting = state.get[:2], [pd.DataFrame(dict(zip(columns, map(list, state.get[2:]))))]
+        mark = state.getCurrentWatermarkMs() / 1000.0 - base
+        pdf = pd.concat([*waiting, *(b[columns] for b in batches)], ignore_index=True).sort_values(["t", "seq"], kind="stable")
+        pdf = pdf[pdf["t"].notna()]
+        ready = pdf["t"] <= mark
+        if ready.any():
+            out, good = _visible(key[0], pdf[ready], good, cap, clip, threshold)
+            yield out
+        rest = pdf[~ready]
+        ends = None if good[0] is None else good[0] + keep
+        if len(rest):
+            due = float(rest["t"].iloc[0])
+        elif ends is not None and ends > mark:
+            due = ends
+        else:
+            if state.exists:
+                state.remove()
+            return
+        number = lambda c: [None if np.isnan(x) else float(x) for x in rest[c].to_numpy(dtype=float)]
+        state.update((*good, number("t"), [int(x) for x in rest["seq"]], number("v"), number("quality")))
+        state.setTimeoutTimestamp(int((max(due, mark) + base) * 1000) + 1)
+
+    return events.withWatermark("ts", delay).groupBy("caseid").applyInPandasWithState(step, ACCEPTANCE, _STATE, "append", GroupStateTimeout.EventTimeTimeout)
+
+
+def ledger_parts(events: DataFrame) -> DataFrame:
+    """Attempts and last status per task of one batch of (task, seq, status, retryable): a part that adds up."""
+    return events.groupBy("task").agg(
+        F.count(F.lit(1)).alias("attempts"), F.max("seq").alias("last_seq"), F.max_by("status", "seq").alias("last_status"), F.max_by("retryable", "seq").alias("last_retryable"))
+
+
+def ledger_table(parts: DataFrame) -> DataFrame:
+    """The parts of all batches added up: (task, attempts, last_seq, last_status, last_retryable)."""
+    return parts.groupBy("task").agg(
+        F.sum("attempts").alias("attempts"), F.max("last_seq").alias("last_seq"),
+        F.max_by("last_status", "last_seq").alias("last_status"), F.max_by("last_retryable", "last_seq").alias("last_retryable"))
+
+
+def session_stream(events: DataFrame, match: Column, gap: str, delay: str = "1 day") -> DataFrame:
     """Gap-bounded runs of matching rows as session windows: (caseid, rows, first_ts, last_ts).
 
-    ``events`` has caseid and a timestamp ``ts``; a gap of exactly ``gap`` still joins.
+    ``events`` has caseid and a timestamp ``ts``; a gap of exactly ``gap`` still joins.  A run is
+    appended, and its state ends, when the watermark has passed its end.  Rows without a case
+    only move the watermark.
     """
-    m = events.where(match).withWatermark("ts", watermark)
+    # The filter runs before the watermark is taken, so it must let those rows pass.
+    m = events.withWatermark("ts", delay).where(match | F.col("caseid").isNull())
     return m.groupBy("caseid", F.session_window("ts", gap)).agg(
         F.count(F.lit(1)).alias("rows"), F.min("ts").alias("first_ts"), F.max("ts").alias("last_ts")).drop("session_window")
 
 
-def run_to_table(stream: DataFrame, path: str, checkpoint: str, mode: str) -> None:
-    """Drain what is available into parquet at ``path``: appended, or replaced per batch for complete output."""
-    w = stream.writeStream.option("checkpointLocation", checkpoint).trigger(availableNow=True)
-    if mode == "append":
-        q = w.outputMode("append").format("parquet").option("path", path).start()
-    else:
-        q = w.outputMode("complete").foreachBatch(lambda df, _id: df.write.mode("overwrite").parquet(path)).start()
-    q.awaitTermination()
+def append_to_table(stream: DataFrame, path: str, checkpoint: str) -> None:
+    """Drain what is available and append finished rows to parquet at ``path``."""
+    stream.writeStream.option("checkpointLocation", checkpoint).trigger(availableNow=True).outputMode("append").format("parquet").option("path", path).start().awaitTermination()
+
+
+def add_parts(stream: DataFrame, parts: Callable[[DataFrame], DataFrame], path: str, checkpoint: str) -> None:
+    """Drain what is available; each batch writes its ``parts`` to a folder of its own, which a repeated batch replaces."""
+    def write(df: DataFrame, batch: int) -> None:
+        parts(df).write.mode("overwrite").parquet(f"{path}/batch={batch}")
+
+    stream.writeStream.option("checkpointLocation", checkpoint).trigger(availableNow=True).foreachBatch(write).start().awaitTermination()
+
+
+def close_source(spark: SparkSession, folder: str, schema: str, ts: str = "ts") -> None:
+    """Add a last row, all null but for a far event time, that moves the watermark past everything that waits."""
+    last = spark.range(1).select(*[
+        (F.to_timestamp(F.lit("2200-01-01")) if f.name == ts else F.lit(None).cast(f.dataType)).alias(f.name) for f in StructType.fromDDL(schema).fields])
+    last.write.mode("append").parquet(folder)
