@@ -13,6 +13,7 @@ from tracksieve.plans import fixtures as fx
 from tracksieve.plans import integrity_plans as ip
 from tracksieve.plans import schedules, sweeps
 from tracksieve.plans.registry import Query
+from tracksieve.sources import publish as pb
 from tracksieve.session import shared_dir
 from tracksieve.sources import files as fs
 
@@ -112,7 +113,34 @@ def snapshot_file(spark: SparkSession, d: str) -> DataFrame:
     return s.groupBy("o_orderstatus").agg(F.count(F.lit(1)).alias("rows"), F.sum(F.length("o_orderkey") + F.length("o_orderpriority")).cast("bigint").alias("characters"))
 
 
+COLUMNS = ("o_orderkey", "o_orderstatus", "o_totalprice")
+
+
+def publish_gates(spark: SparkSession, d: str) -> DataFrame:
+    """Two attempts to publish the orders: a clean one, then one with faults; the gates of each and the rows visible after it."""
+    path = scratch(spark, "published")
+    o = fx.table(spark, d, "orders").select(*COLUMNS)
+    k = F.col("o_orderkey")
+    bad = o.select(F.when(k % 1009 == 0, k + 1).otherwise(k).alias("o_orderkey"), F.when(k % 77 != 0, F.col("o_orderstatus")).alias("o_orderstatus"),
+                   F.when(k % 100 == 0, F.lit(float("nan"))).otherwise(F.col("o_totalprice")).alias("o_totalprice"))
+    out = []
+    for attempt, rows in (("clean", o), ("faulty", bad)):
+        gates = pb.publish(rows, path, COLUMNS, rows=o.count(), not_null=("o_orderstatus",), finite=("o_totalprice",), key=("o_orderkey",), cover=o)
+        seen = pb.published(spark, path).agg(F.count(F.lit(1)), F.count_if(F.isnan("o_totalprice"))).first()
+        out += [(attempt, *g, *seen) for g in gates]
+    return spark.createDataFrame(out, "attempt string, gate string, observed bigint, passed boolean, visible_rows bigint, visible_nan bigint")
+
+
+PUBLISH_SQL = """WITH b AS (SELECT CASE WHEN o_orderkey%1009=0 THEN o_orderkey+1 ELSE o_orderkey END AS k, o_orderkey%77=0 OR o_orderstatus IS NULL AS n, o_orderkey%100=0 AS f FROM orders),
+ n AS (SELECT count(*)::BIGINT AS n FROM orders), x AS (SELECT k, count(*) AS c FROM b GROUP BY 1), j AS (SELECT c, x.k AS a, o_orderkey AS w FROM x FULL JOIN orders ON x.k=o_orderkey),
+ g AS (SELECT 'clean' AS attempt, unnest([{'gate':'column_order','observed':0::BIGINT}, {'gate':'rows','observed':n}, {'gate':'null_o_orderstatus','observed':0}, {'gate':'non_finite_o_totalprice','observed':0},
+    {'gate':'repeated_keys','observed':0}, {'gate':'missing_keys','observed':0}, {'gate':'extra_keys','observed':0}], recursive:=true) FROM n
+  UNION ALL SELECT 'faulty', unnest([{'gate':'column_order','observed':0::BIGINT}, {'gate':'rows','observed':n}, {'gate':'null_o_orderstatus','observed':(SELECT count(*) FROM b WHERE n)}, {'gate':'non_finite_o_totalprice','observed':(SELECT count(*) FROM b WHERE f)},
+    {'gate':'repeated_keys','observed':(SELECT count(*) FROM j WHERE c>1)}, {'gate':'missing_keys','observed':(SELECT count(*) FROM j WHERE a IS NULL)}, {'gate':'extra_keys','observed':(SELECT count(*) FROM j WHERE w IS NULL)}], recursive:=true) FROM n)
+ SELECT attempt, gate, observed, gate='rows' OR observed=0 AS passed, n AS visible_rows, 0::BIGINT AS visible_nan FROM g, n"""
+
 QUERIES = {
+    "publish_gates": Query(publish_gates, PUBLISH_SQL),
     "manifest_roundtrip": Query(manifest_roundtrip, MANIFEST_SQL),
     "track_decode": Query(track_decode, TRACK_SQL),
     "pruned_candidate_read": Query(pruned_candidate_read, PRUNED_SQL),
