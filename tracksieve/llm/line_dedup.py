@@ -23,7 +23,8 @@ from pyspark.sql import functions as F
 from tracksieve.llm.workspace import attach, table
 
 MAX_SHARE = 0.05
-MIN_PAGES = 5
+#: One page repeats nothing; from two on the share alone decides.
+MIN_PAGES = 2
 
 
 def _lines(text: Column) -> Column:
