@@ -11,7 +11,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tracksieve.functions.columns import normalize_key
-from tracksieve.operators.ordered import SPAN, previous_row, segmented
+from tracksieve.operators.ordered import SEG, SPAN, previous_row, ranked, segment_of, segmented
 
 
 def expected_universe(spark: SparkSession, start: int, end: int, key: str = "caseid") -> DataFrame:
@@ -69,7 +69,7 @@ def classify_rows(
 def failure_digest(failures: DataFrame) -> DataFrame:
     """Per case over (caseid, source_rank, seq, failure_type, message): count, first type and message, type set.
 
-    The set is bounded by the number of types; the messages themselves stay rows.
+    The set is bounded by the number of types; ``failure_messages`` has all messages.
     """
     first = F.min(F.struct("source_rank", "seq", "failure_type", "message"))
     return failures.groupBy("caseid").agg(
@@ -77,6 +77,15 @@ def failure_digest(failures: DataFrame) -> DataFrame:
     ).select("caseid", "failures", F.col("_f.failure_type").alias("first_type"), F.col("_f.message").alias("first_message"), "failure_types")
 
 
+def failure_messages(failures: DataFrame, chunk: int = 1000) -> DataFrame:
+    """(caseid, chunk, n, messages): all messages of a case in the order of source and row, in chunks of bounded size."""
+    rows = failures.withColumn(SEG, F.col("source_rank").cast("bigint") * F.lit(1 << 40) + segment_of("seq", SPAN))
+    placed = ranked(rows, ["caseid"], ["source_rank", "seq", "failure_type", "message"], "_r")
+    return placed.groupBy("caseid", F.floor((F.col("_r") - 1) / chunk).alias("chunk")).agg(
+        F.count(F.lit(1)).alias("n"), F.array_sort(F.collect_list(F.struct("_r", "message"))).alias("_m")).select(
+        "caseid", "chunk", "n", F.transform("_m", lambda m: m["message"]).alias("messages"))
+
+
 def violations(rows: DataFrame, key: Sequence[str], rules: Mapping[str, Column]) -> DataFrame:
     """(key..., rule) for every rule a row breaks; a rule that is null counts as broken."""
     broken = F.array_compact(F.array(*[F.when(~F.coalesce(ok, F.lit(False)), F.lit(name)) for name, ok in rules.items()]))

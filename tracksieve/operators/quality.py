@@ -59,7 +59,7 @@ def case_record(signal: DataFrame, cases: DataFrame, sig: str, qual: str, rate_a
 
     duration = F.col("w1") - F.col("w0")
     return span.join(base, "caseid", "left").join(dup, "caseid", "left").join(gaps, "caseid", "left").select(
-        "caseid", duration.alias("duration"), "common_span", (F.col("common_span") / duration).alias("common_ratio"),
+        "caseid", duration.alias("duration"), "common_span", F.try_divide("common_span", duration).alias("common_ratio"),
         "signal_finite", share("_0_100", "signal_finite").alias("share_0_100"), share("_10_100", "signal_finite").alias("share_10_100"),
         "quality_finite", *[share(f"_ge_{q}", "quality_finite").alias(f"share_ge_{q}") for q in (20, 50, 80)],
         "positive_a", "positive_b", "negative_rates", *[f"gap_{name}" for name in primary], "any_duplicate", "any_negative_interval")

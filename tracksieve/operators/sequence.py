@@ -64,7 +64,7 @@ def interval_stats(rows_with_prev: DataFrame, thresholds: Sequence[float] = GAP_
 
 
 def window_position(rows: DataFrame) -> DataFrame:
-    """Rows before / inside / after, first and last in recorded order, observed span and its share."""
+    """Rows before / inside / after, first and last in recorded order, observed span and its share (null for a window without length)."""
     keys = list(KEYS)
     inn = F.when(F.col("position") == "inside", F.col("seq"))
     out = rows.groupBy(*keys).agg(
@@ -74,7 +74,7 @@ def window_position(rows: DataFrame) -> DataFrame:
         F.min_by("t", inn).alias("first_inside"), F.max_by("t", inn).alias("last_inside"))
     span = F.when(F.col("first_inside").isNotNull(), F.greatest(F.lit(0.0), F.col("last_inside") - F.col("first_inside")))
     return out.withColumn("observed_span", span).withColumn(
-        "span_ratio", F.col("observed_span") / (F.col("w1") - F.col("w0"))).drop("w0", "w1")
+        "span_ratio", F.try_divide("observed_span", F.col("w1") - F.col("w0"))).drop("w0", "w1")
 
 
 def value_stats(rows_with_prev: DataFrame) -> DataFrame:

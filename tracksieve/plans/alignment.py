@@ -176,7 +176,7 @@ FROM (SELECT s.caseid, t, max((track='SIG')::INT) AS a, max((track='QLT')::INT)
 def common_span(spark: SparkSession, d: str) -> DataFrame:
     s = align.common_span(fx.signal(spark, d), fx.cases(spark, d, inverted=True), fx.PRIMARY)
     dur = F.when(F.col("s0").isNotNull(), F.greatest(F.lit(0.0), F.col("s1") - F.col("s0")))
-    return s.select("caseid", "s0", "s1", dur.alias("duration"), r6(dur / (F.col("w1") - F.col("w0"))).alias("ratio"),
+    return s.select("caseid", "s0", "s1", dur.alias("duration"), r6(F.try_divide(dur, F.col("w1") - F.col("w0"))).alias("ratio"),
                     F.array_join("limiting", "|").alias("limiting"))
 
 

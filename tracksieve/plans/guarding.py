@@ -66,14 +66,23 @@ def quarantine_counts(spark: SparkSession, d: str) -> DataFrame:
     return classified(spark, d).groupBy(F.coalesce("failure_type", F.lit("clean")).alias("failure_type"), "passes").agg(F.count(F.lit(1)).alias("rows"))
 
 
-def failure_digest(spark: SparkSession, d: str) -> DataFrame:
+def failures(spark: SparkSession, d: str) -> DataFrame:
     c = classified(spark, d).where(F.col("caseid").isNotNull() & F.col("failure_type").isNotNull())
     msg = F.concat(F.col("failure_type"), F.lit(":"), F.col("tname"), F.lit("/"), F.col("tid"))
-    rows = c.select("caseid", F.when(F.col("passes"), 2).otherwise(1).alias("source_rank"), "seq", "failure_type", msg.alias("message"))
-    out = gd.failure_digest(rows)
-    return out.withColumn("failure_types", F.array_join("failure_types", "|"))
+    return c.select("caseid", F.when(F.col("passes"), 2).otherwise(1).alias("source_rank"), "seq", "failure_type", msg.alias("message"))
+
+
+def failure_digest(spark: SparkSession, d: str) -> DataFrame:
+    return gd.failure_digest(failures(spark, d)).withColumn("failure_types", F.array_join("failure_types", "|"))
+
+
+def failure_messages(spark: SparkSession, d: str) -> DataFrame:
+    return gd.failure_messages(failures(spark, d), 2).withColumn("messages", F.array_join("messages", "|"))
 
 
+MESSAGES_SQL = f"""WITH {SOURCE_CTE} SELECT caseid, (r-1)//2 AS chunk, count(*)::BIGINT AS n, string_agg(message, '|' ORDER BY r) AS messages FROM (
+  SELECT caseid, message, row_number() OVER (PARTITION BY caseid ORDER BY o, failure_type, message) AS r FROM (
+    SELECT caseid, failure_type, failure_type||':'||tname||'/'||tid AS message, (CASE WHEN h IS NULL THEN 2 ELSE 1 END)*1000000000+seq AS o FROM q WHERE caseid IS NOT NULL AND failure_type IS NOT NULL)) GROUP BY 1,2"""
 DIGEST_SQL = f"""WITH {SOURCE_CTE} SELECT caseid, count(*)::BIGINT AS failures, arg_min(failure_type, r) AS first_type, arg_min(failure_type||':'||tname||'/'||tid, r) AS first_message,
   array_to_string(list_sort(list(DISTINCT failure_type)),'|') AS failure_types FROM (SELECT *, (CASE WHEN h IS NULL THEN 2 ELSE 1 END)*1000000000+seq AS r FROM q)
   WHERE caseid IS NOT NULL AND failure_type IS NOT NULL GROUP BY 1"""
@@ -274,6 +283,7 @@ QUERIES = {
     "row_quarantine": Query(row_quarantine, f"WITH {SOURCE_CTE} SELECT seq, raw_case, tname, tid, caseid, failure_type, h IS NULL AS passes FROM q"),
     "quarantine_counts": Query(quarantine_counts, f"WITH {SOURCE_CTE} SELECT coalesce(failure_type,'clean') AS failure_type, h IS NULL AS passes, count(*)::BIGINT AS rows FROM q GROUP BY 1,2"),
     "failure_digest": Query(failure_digest, DIGEST_SQL),
+    "failure_messages": Query(failure_messages, MESSAGES_SQL),
     "numeric_parse": Query(numeric_parse, PARSE_SQL),
     "boolean_parse": Query(boolean_parse, "SELECT o_orderkey AS caseid, o_orderkey%3<>1 AS flag FROM orders"),
     "rule_violations": Query(rule_violations, VIOLATIONS_SQL),

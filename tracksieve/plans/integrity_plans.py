@@ -125,7 +125,7 @@ VERIFY_SQL = sql("""SELECT task, attempts, next_action, sum(x)::BIGINT AS surplu
   UNION ALL SELECT task, attempts, next_action, -1 FROM pb WHERE attempts%5=0) GROUP BY 1,2,3 HAVING sum(x)<>0""", fo=FOLD,
                  pb="SELECT task, attempts, CASE WHEN task LIKE '%|view' THEN 'changed' ELSE next_action END AS next_action FROM fo WHERE attempts%7<>0")
 
-SNAPSHOT_TABLES = ("events", "conversations", "orders", "lineitem", "documents")
+SNAPSHOT_TABLES = ("region", "nation", "customer", "supplier", "part", "orders", "lineitem", "events", "documents", "embeddings", "pages", "benchmark", "labels", "conversations")
 
 
 def snapshots(spark: SparkSession, d: str) -> DataFrame:
@@ -136,9 +136,8 @@ def snapshots(spark: SparkSession, d: str) -> DataFrame:
     return out
 
 
-_COLS = {"events": "event_id ts user_id event_type value props", "conversations": "conv_id turn role text", "orders": "o_orderkey o_custkey o_orderstatus o_totalprice o_orderdate o_orderpriority",
-         "lineitem": "l_orderkey l_partkey l_suppkey l_linenumber l_quantity l_extendedprice l_discount l_tax l_returnflag l_linestatus l_shipdate", "documents": "doc_id text lang source n_chars"}
-SNAPSHOT_SQL = " UNION ALL ".join(f"""SELECT '{t}' AS source, count(*)::BIGINT AS rows, {len(c.split())}::BIGINT AS columns, sha256('{c}'.replace(' ', chr(10))) AS field_sha256, 'complete' AS status FROM {t}""" for t, c in _COLS.items())
+SNAPSHOT_SQL = " UNION ALL ".join(f"""SELECT '{t}' AS source, (SELECT count(*) FROM {t})::BIGINT AS rows, count(*)::BIGINT AS columns, sha256(string_agg(column_name, chr(10) ORDER BY ordinal_position)) AS field_sha256,
+  'complete' AS status FROM information_schema.columns WHERE table_name='{t}'""" for t in SNAPSHOT_TABLES)
 
 
 def seals(spark: SparkSession, d: str) -> DataFrame:
