@@ -161,20 +161,24 @@ SUMMARY_SQL = subj_sql("""SELECT round(max(abs(smd)),6)+0.0 AS maximum_absolute_
 
 
 def guard(spark: SparkSession, d: str) -> DataFrame:
-    """The guard on a contaminated copy: some cases moved against their subject, some subjects in both splits."""
+    """The guard on a contaminated copy, against the seal of the clean one: some cases moved against their subject, some subjects in both splits."""
     a, c = allocation(spark, d), case_split(spark, d)
     flip = F.when(F.col("assigned_split") == "train", "test").otherwise("train")
     bad_cases = c.withColumn("assigned_split", F.when(F.col("caseid") % 40 == 0, flip).otherwise(F.col("assigned_split"))).withColumn(
         "subjectid", F.when(F.col("caseid") % 97 == 0, -F.col("subjectid") - 1).otherwise(F.col("subjectid")))
     s = a.select("subjectid", "assigned_split")
     bad_subjects = s.unionByName(s.where("subjectid % 50 = 0").withColumn("assigned_split", flip))
-    return sp.split_guard(bad_cases, bad_subjects)
+    seal = {r["assigned_split"]: r["sha256"] for r in checksums.tree_checksum(c, "caseid", keys=["assigned_split"]).collect()}  # one row per split
+    return sp.split_guard(bad_cases, bad_subjects, seal)
 
 
 GUARD_SQL = subj_sql("""SELECT 'subjects_in_two_splits' AS "check", count(*)::BIGINT AS observed FROM al WHERE subjectid%50=0
   UNION ALL SELECT 'cases_in_two_splits', 0 UNION ALL SELECT 'cases_without_parent', count(*) FROM cp WHERE caseid%97=0
   UNION ALL SELECT 'cases_against_parent', count(*) FROM (SELECT CASE WHEN caseid%40=0 THEN CASE assigned_split WHEN 'train' THEN 'test' ELSE 'train' END ELSE assigned_split END AS a,
-     CASE WHEN subjectid%50=0 THEN 'test' ELSE assigned_split END AS p FROM cp WHERE caseid%97<>0) WHERE a<>p""")
+     CASE WHEN subjectid%50=0 THEN 'test' ELSE assigned_split END AS p FROM cp WHERE caseid%97<>0) WHERE a<>p
+  UNION ALL SELECT 'seal_mismatches', count(*) FROM tb LEFT JOIN ta USING (k) WHERE ta.sha256 IS DISTINCT FROM tb.sha256""", **fx.tree("ta", "cp", "assigned_split", "caseid", "caseid::VARCHAR"),
+  bc="SELECT caseid, CASE WHEN caseid%40=0 THEN CASE assigned_split WHEN 'train' THEN 'test' ELSE 'train' END ELSE assigned_split END AS assigned_split FROM cp",
+  **fx.tree("tb", "bc", "assigned_split", "caseid", "caseid::VARCHAR"))
 
 
 def id_checksums(spark: SparkSession, d: str) -> DataFrame:
