@@ -17,7 +17,7 @@ class Query(NamedTuple):
 MODULES = (
     "alignment", "sequences", "sweeps", "exposure", "quality", "sampling", "guarding",
     "inventories", "distributions", "subjects", "cohorts", "schedules", "statistics_plans", "integrity_plans",
-    "source_plans", "stream_plans",
+    "source_plans", "stream_plans", "store_plans",
 )
 
 #: Queries from outside this folder; ``__spark_entry__`` puts them here.
