@@ -8,7 +8,7 @@ from collections.abc import Mapping, Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from tracksieve.functions.columns import rate_constants
+from tracksieve.functions.columns import is_finite, rate_constants
 from tracksieve.operators.ordered import SEG, SPAN, balanced, dense_rows, next_row, previous_row, running_sum, segmented, spread_join, with_halo
 
 STEP_SPAN = 1 << 16
@@ -148,6 +148,26 @@ def apply_scaler(rows: DataFrame, scaler: DataFrame, fields: Sequence[str], keys
     return r.select(*keys, *[((F.col(f) - F.col("_m")[f]["center"]) / F.col("_m")[f]["scale"]).alias(f) for f in fields])
 
 
+def verify_scaler(fitted: DataFrame, frozen: DataFrame, tolerance: float = 1e-9) -> DataFrame:
+    """(field, verdict) of a scaler fitted again against the frozen one: ok, missing, unknown, invalid (not finite, scale <= 0) or different."""
+    z = frozen.select("field", F.col("center").alias("_c"), F.col("scale").alias("_s"), F.lit(True).alias("_frozen"))
+    j = fitted.withColumn("_fitted", F.lit(True)).join(z, "field", "full_outer")
+
+    def apart(a: str, b: str) -> Column:
+        return F.abs(F.col(a) - F.col(b)) > tolerance * F.greatest(F.lit(1.0), F.abs(a))
+
+    valid = is_finite("_c") & is_finite("_s") & (F.col("_s") > 0)
+    verdict = (F.when(F.col("_frozen").isNull(), "missing").when(F.col("_fitted").isNull(), "unknown").when(~F.coalesce(valid, F.lit(False)), "invalid")
+               .when(apart("center", "_c") | apart("scale", "_s"), "different").otherwise("ok"))
+    return j.select("field", verdict.alias("verdict"))
+
+
+def scaled_rejects(scaled: DataFrame, fields: Sequence[str], keys: Sequence[str]) -> DataFrame:
+    """(keys, field, reason) of every scaled value that must not be used: null, nan or infinite.  Empty means all finite."""
+    cells = F.array(*[F.struct(F.lit(f).alias("field"), F.when(F.col(f).isNull(), "null").when(F.isnan(f), "nan").when(F.abs(f) == float("inf"), "infinite").alias("reason")) for f in fields])
+    return scaled.select(*keys, F.inline(F.filter(cells, lambda c: c["reason"].isNotNull())))
+
+
 # --- exposure by superposition -------------------------------------------------
 # The compartment model is linear, so the state at a time is the sum of what each
 # constant-rate interval leaves behind.  The sum combines map-side: no recursion,

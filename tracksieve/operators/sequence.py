@@ -310,3 +310,17 @@ def case_status(track_manifest: DataFrame) -> DataFrame:
     return out.withColumn("case_status", F.when(F.col("failed_tracks") > 0, "failed")
                           .when(F.col("present_tracks") == 0, "complete_no_allowed_tracks_present")
                           .when(F.col("empty_tracks") > 0, "complete_with_empty_signal").otherwise("complete"))
+
+
+#: The statuses of a (case, track) row.
+TRACK_STATUS = ("complete", "empty_signal", "failed", "track_absent")
+
+
+def track_summary(track_manifest: DataFrame, statuses: Sequence[str] = TRACK_STATUS) -> DataFrame:
+    """Per track roll-up of the rows that ``case_status`` takes: cases by status, all-zero, positive, positive inside the window, with a warning."""
+    s, p = F.col("status"), F.col("present")
+    return track_manifest.groupBy("track").agg(
+        F.count(F.lit(1)).alias("expected_cases"), F.count_if(p).alias("present_cases"), *[F.count_if(s == x).alias(x) for x in statuses],
+        F.count_if(p & (s == "complete") & (F.col("finite") > 0) & (F.col("positive") == 0) & (F.col("negative") == 0)).alias("all_zero_cases"),
+        F.count_if(F.col("positive") > 0).alias("positive_cases"), F.count_if(F.col("window_positive") > 0).alias("window_positive_cases"),
+        F.count_if(F.size("warnings") > 0).alias("warning_cases"))

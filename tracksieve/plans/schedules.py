@@ -148,6 +148,31 @@ def scaled(spark: SparkSession, d: str) -> DataFrame:
     return _r(ft.apply_scaler(states(spark, d), scaler(spark, d), FIELDS, ["caseid", "k"]), 5)
 
 
+def frozen_scaler(spark: SparkSession, d: str) -> DataFrame:
+    """The fitted scaler against a frozen copy with a changed, a lost, an unknown and an invalid field."""
+    fitted = scaler(spark, d)
+    f = F.col("field")
+    frozen = fitted.where(f != "recent").select(
+        F.when(f == "cumulative", "cumulative_old").otherwise(f).alias("field"), (F.col("center") + F.when(f == "age_t0", 1.0).otherwise(0.0)).alias("center"),
+        F.when(f == "dose_t0", 0.0).otherwise(F.col("scale")).alias("scale"))
+    return ft.verify_scaler(fitted, frozen)
+
+
+FROZEN_SQL = """SELECT * FROM (VALUES ('value_t0','ok'),('mask_t0','ok'),('age_t0','different'),('dose_t0','invalid'),('recent','missing'),('cumulative','missing'),('cumulative_old','unknown')) t(field, verdict)"""
+
+
+def scaled_rejects(spark: SparkSession, d: str) -> DataFrame:
+    """States of which some carry NaN, infinity or nothing, scaled: every bad value is a row."""
+    c = F.col("caseid")
+    bad = states(spark, d).withColumn("value_t0", F.when(c % 9 == 0, float("nan")).when(c % 10 == 0, float("inf")).otherwise(F.col("value_t0"))).withColumn(
+        "recent", F.when(c % 7 != 0, F.col("recent")))
+    return ft.scaled_rejects(ft.apply_scaler(bad, scaler(spark, d), FIELDS, ["caseid", "k"]), FIELDS, ["caseid", "k"])
+
+
+REJECT_SQL = sch_sql("""SELECT caseid, k, 'value_t0' AS field, CASE WHEN caseid%9=0 THEN 'nan' ELSE 'infinite' END AS reason FROM sf WHERE caseid%9=0 OR caseid%10=0
+  UNION ALL SELECT caseid, k, 'recent', 'null' FROM sf WHERE caseid%7=0""", "as_ge_50", **STATE)
+
+
 SCALED_SQL = sch_sql("SELECT caseid, k, " + ", ".join(
     f"round(({f}-(SELECT center FROM sl WHERE field='{f}'))/(SELECT scale FROM sl WHERE field='{f}'),5)+0.0 AS {f}" for f in FIELDS) + " FROM sf", "as_ge_50", **STATE, **SCALER)
 
@@ -276,6 +301,8 @@ QUERIES = {
     "state_features": Query(lambda s, d: _r(states(s, d)), STATE_SQL),
     "scaler_fit": Query(lambda s, d: _r(scaler(s, d)), sch_sql("SELECT field, n, round(center,6)+0.0 AS center, round(scale,6)+0.0 AS scale FROM sl", "as_ge_50", **STATE, **SCALER)),
     "scaler_apply": Query(scaled, SCALED_SQL),
+    "scaler_verify": Query(frozen_scaler, FROZEN_SQL),
+    "scaled_rejects": Query(scaled_rejects, REJECT_SQL),
     "covariate_params": Query(covariates, COVARIATE_SQL),
     "response_surface": Query(response, RESPONSE_SQL),
     "exposure_one_compartment": Query(one_compartment, ONE_SQL),

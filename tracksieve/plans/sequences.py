@@ -241,6 +241,13 @@ def case_status(spark: SparkSession, d: str) -> DataFrame:
     return sq.case_status(track_manifest(spark, d))
 
 
+TRACK_ROWS = """SELECT e.caseid, e.track, n, pos, neg, wp, fin, warn, CASE WHEN n IS NULL THEN 'track_absent' WHEN e.caseid%13=0 AND e.track='EXP' THEN 'failed'
+     WHEN fin<10 THEN 'empty_signal' ELSE 'complete' END AS st
+   FROM (SELECT csi.caseid, unnest(['EXP','RATE_A','RATE_B','SIG','NEVER']) AS track FROM csi) e LEFT JOIN (
+     SELECT caseid, track, count(*) AS n, count(x) AS fin, count(*) FILTER (WHERE x>0) AS pos, count(*) FILTER (WHERE x<0) AS neg,
+       count(*) FILTER (WHERE x>0 AND inn) AS wp,
+       count(*)>count(DISTINCT t) OR bool_or(coalesce(x<0,false)) OR bool_or(coalesce(isnan(v),false)) OR bool_or(coalesce(d<0,false)) AS warn
+     FROM raw GROUP BY 1,2) m ON e.caseid=m.caseid AND e.track=m.track"""
 CASE_STATUS_SQL = seq_sql("""SELECT *, CASE WHEN failed_tracks>0 THEN 'failed' WHEN present_tracks=0 THEN 'complete_no_allowed_tracks_present'
   WHEN empty_tracks>0 THEN 'complete_with_empty_signal' ELSE 'complete' END AS case_status FROM (
  SELECT caseid, count(*) FILTER (WHERE n IS NOT NULL)::BIGINT AS present_tracks, count(*) FILTER (WHERE n IS NULL)::BIGINT AS absent_tracks,
@@ -248,13 +255,17 @@ CASE_STATUS_SQL = seq_sql("""SELECT *, CASE WHEN failed_tracks>0 THEN 'failed' W
   count(*) FILTER (WHERE st='failed')::BIGINT AS failed_tracks, bool_or(coalesce(pos>0,false)) AS positive_anywhere,
   bool_or(coalesce(wp>0,false)) AS positive_inside, count(*) FILTER (WHERE st='complete' AND fin>0 AND pos=0 AND neg=0)::BIGINT AS all_zero_tracks,
   count(*) FILTER (WHERE warn)::BIGINT AS warning_tracks
- FROM (SELECT e.caseid, e.track, n, pos, neg, wp, fin, warn, CASE WHEN n IS NULL THEN 'track_absent' WHEN e.caseid%13=0 AND e.track='EXP' THEN 'failed'
-     WHEN fin<10 THEN 'empty_signal' ELSE 'complete' END AS st
-   FROM (SELECT csi.caseid, unnest(['EXP','RATE_A','RATE_B','SIG','NEVER']) AS track FROM csi) e LEFT JOIN (
-     SELECT caseid, track, count(*) AS n, count(x) AS fin, count(*) FILTER (WHERE x>0) AS pos, count(*) FILTER (WHERE x<0) AS neg,
-       count(*) FILTER (WHERE x>0 AND inn) AS wp,
-       count(*)>count(DISTINCT t) OR bool_or(coalesce(x<0,false)) OR bool_or(coalesce(isnan(v),false)) OR bool_or(coalesce(d<0,false)) AS warn
-     FROM raw GROUP BY 1,2) m ON e.caseid=m.caseid AND e.track=m.track) GROUP BY 1)""", cs="csi")
+ FROM ("""+TRACK_ROWS+""") GROUP BY 1)""", cs="csi")
+
+
+def track_summary(spark: SparkSession, d: str) -> DataFrame:
+    return sq.track_summary(track_manifest(spark, d))
+
+
+TRACK_SUMMARY_SQL = seq_sql("""SELECT track, count(*)::BIGINT AS expected_cases, count(n)::BIGINT AS present_cases, count(*) FILTER (WHERE st='complete')::BIGINT AS complete,
+  count(*) FILTER (WHERE st='empty_signal')::BIGINT AS empty_signal, count(*) FILTER (WHERE st='failed')::BIGINT AS failed, count(*) FILTER (WHERE st='track_absent')::BIGINT AS track_absent,
+  count(*) FILTER (WHERE st='complete' AND fin>0 AND pos=0 AND neg=0)::BIGINT AS all_zero_cases, count(*) FILTER (WHERE pos>0)::BIGINT AS positive_cases,
+  count(*) FILTER (WHERE wp>0)::BIGINT AS window_positive_cases, count(*) FILTER (WHERE warn)::BIGINT AS warning_cases FROM (""" + TRACK_ROWS + ") GROUP BY 1", cs="csi")
 
 
 def warning_flags(spark: SparkSession, d: str) -> DataFrame:
@@ -281,5 +292,6 @@ QUERIES = {
     "rate_block": Query(rate_block, RATE_SQL),
     "case_rollup": Query(case_rollup, ROLLUP_SQL),
     "case_status": Query(case_status, CASE_STATUS_SQL),
+    "track_summary": Query(track_summary, TRACK_SUMMARY_SQL),
     "warning_flags": Query(warning_flags, WARNING_SQL),
 }
