@@ -60,6 +60,17 @@ def content_hashes(spark: SparkSession, root: str) -> DataFrame:
     return listing(spark, root).drop("modified").join(trees, "name", "left").select("name", "bytes", "lines", "sha256")
 
 
+def entry_hashes(spark: SparkSession, root: str) -> DataFrame:
+    """(name, bytes, files, sha256) of every entry directly below ``root``: a file, or a folder with all files in it.
+
+    A table is one entry, whether it is written as one file or as many.
+    """
+    files = cut_lineage(content_hashes(spark, root).select(F.substring_index("name", "/", 1).alias("entry"), "name", "bytes", "sha256"))
+    trees = tree_fingerprint(files, ["entry"], "name", F.concat_ws("\t", "name", F.col("bytes").cast("string"), "sha256"))
+    sums = files.groupBy("entry").agg(F.sum("bytes").alias("bytes"), F.count(F.lit(1)).alias("files"))
+    return sums.join(trees, "entry").select(F.col("entry").alias("name"), "bytes", "files", "sha256")
+
+
 def audit(found: DataFrame, manifest: DataFrame, key: str = "name") -> DataFrame:
     """(key, verdict) of files (key, bytes, sha256, partial) against a manifest (key, bytes, sha256) made before them.
 

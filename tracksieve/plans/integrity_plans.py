@@ -5,11 +5,12 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tracksieve.operators import integrity as ig
+from tracksieve.operators import integrity as ig, stores
 from tracksieve.plans import fixtures as fx
 from tracksieve.plans.inventories import TASK_CTE, tasks
 from tracksieve.plans.registry import Query
 from tracksieve.plans.sequences import _r
+from tracksieve.session import cut_lineage
 
 
 def ledger(spark: SparkSession, d: str) -> DataFrame:
@@ -149,8 +150,8 @@ SEAL_SQL = sql("""SELECT task, seq, sha256('{"retryable":'||retryable||',"seq":'
 
 
 def file_checksums(spark: SparkSession, d: str) -> DataFrame:
-    """The parquet files of the run against a manifest of themselves with one damaged entry."""
-    found = ig.list_files(spark, d, content=True)
+    """The tables of the run, a file or a folder of files each, against a manifest of themselves with one damaged entry."""
+    found = cut_lineage(stores.entry_hashes(spark, d))
     manifest = found.withColumn("sha256", F.when(F.col("name") == "orders.parquet", F.lit("0")).otherwise(F.col("sha256"))).where(F.col("name") != "region.parquet")
     return ig.compare_files(found, manifest)
 
