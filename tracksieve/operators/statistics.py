@@ -24,6 +24,8 @@ CONTRASTS = {
 # Order in which the four terms of a contrast are added.
 SUMMATION_ORDER = ("P0S0", "P0S1", "P1S1", "P1S0")
 FLIP_SEED = 1 << 32
+#: Decimals kept beyond the printed ones when a number becomes text.
+NOISE = 5
 
 
 def episode_metrics(trajectory: DataFrame, step_seconds: float = 10.0, target: float = 50.0, low: float = 40.0, high: float = 60.0,
@@ -167,9 +169,13 @@ def paired_table(subject_rows: DataFrame, names: Sequence[tuple[str, str]], repl
 
 
 def formatted(table: DataFrame, precisions: Mapping[str, int], columns: Sequence[str], by: str = "metric", default: int = 3) -> DataFrame:
-    """Numbers as text with the metric's number of decimals, halves away from zero; null stays empty."""
+    """Numbers as text with the metric's number of decimals, halves away from zero; null stays empty.
+
+    The last bits of a mean depend on the order of its sum, so a value within ``NOISE`` further
+    decimals of a half is that half: the text is the same however the rows were split.
+    """
     def fixed(column: str) -> Column:
-        text = {d: F.format_string(f"%.{d}f", F.round(column, d) + F.lit(0.0)) for d in {default, *precisions.values()}}
+        text = {d: F.format_string(f"%.{d}f", F.round(F.round(column, d + NOISE), d) + F.lit(0.0)) for d in {default, *precisions.values()}}
         out = text[default]
         for name, d in precisions.items():
             out = F.when(F.col(by) == name, text[d]).otherwise(out)
