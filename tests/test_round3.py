@@ -5,6 +5,7 @@ import shutil
 
 from tracksieve.operators import statistics as st
 from tracksieve.plans import integrity_plans as ip
+from tracksieve.streaming import streams
 
 SF = "/root/testdata/sf0.001"
 
@@ -25,3 +26,19 @@ def test_a_table_of_many_files_is_one_entry_of_the_manifest(spark, tmp_path):
         rows.repartition(3).write.mode("overwrite").parquet(str(tmp_path / f"{name}.parquet"))
     got = {r["name"]: r["verdict"] for r in ip.file_checksums(spark, str(tmp_path)).collect()}
     assert got == {name: {"orders.parquet": "checksum_mismatch", "region.parquet": "unlisted"}.get(name, "ok") for name in os.listdir(SF)}
+
+
+def test_neighbouring_cases_share_a_state_and_keep_their_own_events(spark, tmp_path):
+    schema = "caseid bigint, seq bigint, ts timestamp, t double, v double, quality double"
+    cases, folder = range(200, 328), str(tmp_path / "in")
+    rows = [(c, c * 10 + k, float(10 * k + c % 3), float(c % 90) if k != 1 else 500.0, 80.0) for c in cases for k in range(1, 4)]
+    df = spark.createDataFrame(rows, "caseid bigint, seq bigint, t double, v double, quality double").selectExpr(
+        "caseid", "seq", "timestamp_seconds(t + 86400) AS ts", "t", "v", "quality")
+    df.repartition(4).write.parquet(folder)
+    streams.close_source(spark, folder, schema)
+    stream = streams.acceptance_stream(spark.readStream.schema(schema).option("maxFilesPerTrigger", 2).parquet(folder), 15.0, 12.0, delay="1000 seconds", base=86400.0)
+    query = stream.writeStream.option("checkpointLocation", str(tmp_path / "state")).trigger(availableNow=True).format("parquet").option("path", str(tmp_path / "out")).start()
+    query.awaitTermination()
+    assert max(p["stateOperators"][0]["numRowsTotal"] for p in query.recentProgress if p["stateOperators"]) <= 4
+    got = {r.seq: (r.caseid, r.value, r.mask, r.age, r.reason) for r in spark.read.schema(streams.ACCEPTANCE).parquet(str(tmp_path / "out")).collect()}
+    assert got == {c * 10 + k: (c, 0.0 if k == 1 else float(c % 90), float(k > 1), 0.0, "signal_out_of_range" if k == 1 else "available") for c in cases for k in range(1, 4)}

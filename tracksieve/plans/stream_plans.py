@@ -10,6 +10,7 @@ from tracksieve.plans import integrity_plans as ip
 from tracksieve.plans.registry import Query
 from tracksieve.plans.sequences import _r
 from tracksieve.plans.source_plans import scratch
+from tracksieve.session import cut_lineage
 from tracksieve.streaming import streams as st
 
 
@@ -18,15 +19,16 @@ BASE = 1704067200.0  # event times count from 2024-01-01
 
 
 def _as_stream(spark: SparkSession, rows: DataFrame, name: str, order: str, close: bool = False) -> DataFrame:
-    """The rows as a stream of ``PARTS`` files that come one after the other, roughly in ``order``, a batch each."""
-    path = scratch(spark, name)
+    """The rows as a stream of ``PARTS`` parts that come one after the other, roughly in ``order``, a batch each."""
+    path, files = scratch(spark, name), max(2, spark.sparkContext.defaultParallelism)
+    rows = cut_lineage(rows)  # read for the cuts and by every part
     cuts = rows.select(F.col(order).cast("double").alias("_x")).agg(F.min("_x"), F.max("_x")).first()
     place = F.least(F.floor((F.col(order).cast("double") - cuts[0]) / max(cuts[1] - cuts[0], 1.0) * PARTS), F.lit(PARTS - 1))
     for part in range(PARTS):
-        rows.where(place == part).coalesce(2).write.mode("append").parquet(path)
+        rows.where(place == part).repartition(files).write.mode("append").parquet(path)
     if close:
         st.close_source(spark, path, ", ".join(f"{n} {t}" for n, t in rows.dtypes))
-    return spark.readStream.schema(rows.schema).option("maxFilesPerTrigger", 2).parquet(path)
+    return spark.readStream.schema(rows.schema).option("maxFilesPerTrigger", files).parquet(path)
 
 
 def _appended(spark: SparkSession, stream: DataFrame, name: str) -> DataFrame:

@@ -17,26 +17,35 @@ from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 from pyspark.sql.types import StructType
 
 ACCEPTANCE = "caseid bigint, seq bigint, t double, value double, mask double, age double, reason string"
-#: The latest accepted event, and the events that wait for the watermark.
-_STATE = "good_t double, good_v double, t array<double>, seq array<bigint>, v array<double>, quality array<double>"
+#: Case ids that share a group, so that one call takes many short cases (a power of two, as an exponent).
+CASES = 6
+#: The latest accepted event of each case, and the events that wait for the watermark.
+_STATE = ("good_case array<bigint>, good_t array<double>, good_v array<double>, "
+          "caseid array<bigint>, t array<double>, seq array<bigint>, v array<double>, quality array<double>")
 
 
-def _visible(case: int, events: pd.DataFrame, good: tuple, cap: float, clip: float, threshold: float) -> tuple[pd.DataFrame, tuple]:
-    """What is visible at each event, in time order, and the latest accepted event afterwards."""
+def _visible(events: pd.DataFrame, good: dict[int, tuple[float, float]], clip: float, cap: float, threshold: float) -> tuple[pd.DataFrame, dict[int, tuple[float, float]]]:
+    """What is visible at each event, of rows by case and time, and the latest accepted event of each case afterwards."""
+    case = events["caseid"].to_numpy(dtype=np.int64)
     t, v, q = (events[c].to_numpy(dtype=float) for c in ("t", "v", "quality"))
     reason = np.select(
         [np.isnan(v), (v < 0) | (v > 100), np.isnan(q), q < threshold],
         ["explicit_missing_event", "signal_out_of_range", "quality_missing_exact_timestamp", "quality_below_threshold"], "available").astype(object)
+    first = np.flatnonzero(np.r_[True, case[1:] != case[:-1]])
+    rows = np.diff(np.r_[first, len(case)])
     at = np.maximum.accumulate(np.where(reason == "available", np.arange(len(t)), -1))
-    start = [np.nan if x is None else x for x in good]
-    seen_t, seen_v = (np.where(at >= 0, x[at], s) for x, s in zip((t, v), start))
+    own = at >= np.repeat(first, rows)  # of the same case
+    start = np.array([good.get(c, (np.nan, np.nan)) for c in case[first].tolist()])
+    seen_t, seen_v = (np.where(own, x[at], np.repeat(start[:, i], rows)) for i, x in enumerate((t, v)))
     age = t - seen_t
     shown = age <= cap
     out = pd.DataFrame({
         "caseid": case, "seq": events["seq"].astype("int64"), "t": t, "value": np.where(shown, seen_v, 0.0), "mask": shown.astype(float),
         "age": np.where(shown, np.minimum(age, clip), 0.0),
         "reason": np.where(shown, "available", np.where(np.isnan(seen_t) | (t > seen_t), reason, "stale_beyond_cap"))})
-    return out, (float(t[at[-1]]), float(v[at[-1]])) if at[-1] >= 0 else good
+    last = np.cumsum(rows) - 1
+    accepted = {int(case[i]): (float(seen_t[i]), float(seen_v[i])) for i in last if not np.isnan(seen_t[i])}
+    return out, {**good, **accepted}
 
 
 def acceptance_stream(events: DataFrame, cap: float, clip: float, threshold: float = 50.0, delay: str = "1 day", base: float = 0.0, keep: float | None = None) -> DataFrame:
@@ -45,39 +54,43 @@ def acceptance_stream(events: DataFrame, cap: float, clip: float, threshold: flo
     ``events`` is a stream of (caseid, seq, ts, t, v, quality) where ``ts`` is the timestamp
     of ``base + t`` seconds, after 1970.  An event waits until the watermark (``delay`` behind the latest one) has
     passed it; then all waiting events before it have come, and they are taken in time order.
-    Older events are dropped and counted by Spark.  A case's state ends when nothing waits and
+    Older events are dropped and counted by Spark.  Neighbouring case ids share a group, as a call
+    costs more than the events of a short case.  A case's state ends when nothing waits and
     ``keep`` seconds (the cap, if not given) have passed its latest accepted event, which no later
     event can then see.  Rows without a time ``t`` only move the watermark.
     """
     keep = cap if keep is None else keep
 
     def step(key, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        columns = ["t", "seq", "v", "quality"]
-        good, waiting = (None, None), []
+        columns = ["caseid", "t", "seq", "v", "quality"]
+        good, parts = {}, [b[columns] for b in batches]
         if state.exists:
-            good, waiting = state.get[:2], [pd.DataFrame(dict(zip(columns, map(list, state.get[2:]))))]
+            cases, times, values, *waiting = map(list, state.get)
+            good = dict(zip(cases, zip(times, values)))
+            parts.insert(0, pd.DataFrame(dict(zip(columns, waiting))))
         mark = state.getCurrentWatermarkMs() / 1000.0 - base
-        pdf = pd.concat([*waiting, *(b[columns] for b in batches)], ignore_index=True).sort_values(["t", "seq"], kind="stable")
-        pdf = pdf[pdf["t"].notna()]
+        numbers = [p.assign(caseid=p["caseid"].fillna(0).astype("int64"), **{c: p[c].astype(float) for c in ("t", "v", "quality")}) for p in parts if len(p)]
+        pdf = pd.concat(numbers, ignore_index=True) if numbers else pd.DataFrame(columns=columns)
+        pdf = pdf[pdf["t"].notna()].sort_values(["caseid", "t", "seq"], kind="stable")
         ready = pdf["t"] <= mark
         if ready.any():
-            out, good = _visible(key[0], pdf[ready], good, cap, clip, threshold)
-            yield out
+            out, good = _visible(pdf[ready], good, clip, cap, threshold)
+            yield out if key[0] is not None else out.assign(caseid=None)
         rest = pdf[~ready]
-        ends = None if good[0] is None else good[0] + keep
-        if len(rest):
-            due = float(rest["t"].iloc[0])
-        elif ends is not None and ends > mark:
-            due = ends
-        else:
+        waits = set(rest["caseid"])
+        good = {c: g for c, g in good.items() if c in waits or g[0] + keep > mark}
+        if not len(rest) and not good:
             if state.exists:
                 state.remove()
             return
+        due = min([*rest["t"], *(g[0] + keep for c, g in good.items() if c not in waits)])
         number = lambda c: [None if np.isnan(x) else float(x) for x in rest[c].to_numpy(dtype=float)]
-        state.update((*good, number("t"), [int(x) for x in rest["seq"]], number("v"), number("quality")))
+        state.update((list(good), [g[0] for g in good.values()], [g[1] for g in good.values()], [int(x) for x in rest["caseid"]],
+                      number("t"), [int(x) for x in rest["seq"]], number("v"), number("quality")))
         state.setTimeoutTimestamp(int((max(due, mark) + base) * 1000) + 1)
 
-    return events.withWatermark("ts", delay).groupBy("caseid").applyInPandasWithState(step, ACCEPTANCE, _STATE, "append", GroupStateTimeout.EventTimeTimeout)
+    grouped = events.withWatermark("ts", delay).withColumn("_cases", F.shiftright("caseid", CASES)).groupBy("_cases")
+    return grouped.applyInPandasWithState(step, ACCEPTANCE, _STATE, "append", GroupStateTimeout.EventTimeTimeout)
 
 
 def ledger_parts(events: DataFrame) -> DataFrame:
