@@ -3,8 +3,8 @@
 import os
 import shutil
 
-from tracksieve.operators import statistics as st
-from tracksieve.plans import integrity_plans as ip
+from tracksieve.operators import sequence as sq, statistics as st
+from tracksieve.plans import fixtures as fx, integrity_plans as ip
 from tracksieve.streaming import streams
 
 SF = "/root/testdata/sf0.001"
@@ -42,3 +42,12 @@ def test_neighbouring_cases_share_a_state_and_keep_their_own_events(spark, tmp_p
     assert max(p["stateOperators"][0]["numRowsTotal"] for p in query.recentProgress if p["stateOperators"]) <= 4
     got = {r.seq: (r.caseid, r.value, r.mask, r.age, r.reason) for r in spark.read.schema(streams.ACCEPTANCE).parquet(str(tmp_path / "out")).collect()}
     assert got == {c * 10 + k: (c, 0.0 if k == 1 else float(c % 90), float(k > 1), 0.0, "signal_out_of_range" if k == 1 else "available") for c in cases for k in range(1, 4)}
+
+
+def test_cadence_has_the_measures_of_the_evidence(spark):
+    signal, cases = fx.signal(spark, SF, nan=True), fx.cases(spark, SF, inverted=True)
+    columns = ["caseid", "track", "median_step", "gap_bound"]
+    alone, evidence = (sorted(df.select(columns).collect(), key=lambda r: r[:2]) for df in (sq.track_cadence(signal, cases), sq.track_evidence(signal, cases)))
+    assert alone == evidence
+    plan = sq.track_cadence(signal, cases)._jdf.queryExecution().optimizedPlan().toString()
+    assert "_piece" not in plan and "samples" not in plan

@@ -168,6 +168,13 @@ EVIDENCE_FLAGS = (
 )
 
 
+def track_cadence(signal: DataFrame, cases: DataFrame, span: int = SPAN, multiplier: float = GAP_MULTIPLIER) -> DataFrame:
+    """(caseid, track, median_step, gap_bound) of every present track: the two measures of ``track_evidence`` alone, without its runs and counts."""
+    rows = rows_of(signal, cases, span)
+    steps = median_step(with_previous(inside(rows)))
+    return rows.select(*KEYS).distinct().join(steps, list(KEYS), "left").withColumn("gap_bound", F.col("median_step") * multiplier)
+
+
 def track_evidence(signal: DataFrame, cases: DataFrame, span: int = SPAN) -> DataFrame:
     """Cadence-adaptive positive-run evidence: one row per present (case, track), warnings as a sorted array."""
     keys = list(KEYS)

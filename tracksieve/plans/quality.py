@@ -166,7 +166,7 @@ def boundary_sizes(spark: SparkSession, d: str) -> DataFrame:
 
 def track_cadence(spark: SparkSession, d: str) -> DataFrame:
     """Distribution of cadence and adaptive boundary per track, over present tracks."""
-    e = sq.track_evidence(fx.signal(spark, d, nan=True), fx.cases(spark, d, inverted=True))
+    e = sq.track_cadence(fx.signal(spark, d, nan=True), fx.cases(spark, d, inverted=True))
     long = e.select("track", F.explode(F.array(*[
         F.struct(F.lit(m).alias("measure"), F.col(m).alias("value")) for m in ("median_step", "gap_bound")])).alias("_m")).select("track", "_m.*")
     return distribution(long, ["track", "measure"], "value")
