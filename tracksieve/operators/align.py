@@ -17,7 +17,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tracksieve.functions.columns import is_finite
-from tracksieve.operators.ordered import SEG, SPAN, balanced, dense_rows, last_known, segment_of, spread_join
+from tracksieve.operators.ordered import SEG, SPAN, balanced, dense_rows, last_known, segment_of, spread_join, tasks_for
 from tracksieve.session import cut_lineage
 
 GRID_SPAN = 4096
@@ -179,7 +179,7 @@ def align_study(
     per = table.groupBy("caseid").agg(*[a for i in range(len(primary)) for a in (
         F.min_by(f"_f{i}", f"_fs{i}").alias(f"_f{i}"), F.max_by(f"_l{i}", f"_ls{i}").alias(f"_l{i}"))])
     bounds = grid_bounds(_spans(per, cases, primary), step)
-    return _fill(table.select("caseid", "slot", *[x.name for x in lookups]), bounds, [x.name for x in lookups], step, before, after, span)
+    return _fill(table.select("caseid", "slot", *[x.name for x in lookups]), bounds, [x.name for x in lookups], step, before, after, span, table.count())
 
 
 def align_grid(
@@ -196,18 +196,20 @@ def align_grid(
     return _fill(table, bounds, [x.name for x in lookups], step, before, after, span)
 
 
-def _fill(slots: DataFrame, bounds: DataFrame, names: Sequence[str], step: float, before: int, after: int, span: int) -> DataFrame:
-    """Grid points of ``bounds`` with the latest entry of ``slots`` at or before each, per name."""
+def _fill(slots: DataFrame, bounds: DataFrame, names: Sequence[str], step: float, before: int, after: int, span: int, recorded: int = 0) -> DataFrame:
+    """Grid points of ``bounds`` with the latest entry of ``slots`` (``recorded`` rows, where known) at or before each, per name."""
+    bounds = cut_lineage(bounds)
+    points = bounds.agg(F.sum(F.col("hi") - F.col("lo") + 1)).first()[0] or 0
     rows = slots.withColumn(SEG, F.explode(F.sequence(segment_of(F.col("slot") - after, span), segment_of(F.col("slot") + before, span))))
     segs = bounds.withColumn(SEG, F.explode(F.sequence(segment_of(F.col("lo") - after, span), segment_of(F.col("hi") + before, span))))
     # A segment travels as one mark and becomes its grid points only after the shuffle.
     first, last = F.greatest(F.col("lo"), F.col(SEG) * span - before), F.least(F.col("hi"), F.col(SEG) * span + (span - 1 + after))
     marks = segs.select("caseid", SEG, "w0", "lo", "hi", first.alias("_a"), last.alias("_b"))
-    points = F.when(F.col("_a").isNotNull(), F.sequence(F.col("_a"), F.col("_b"))).otherwise(F.array("slot"))
+    each = F.when(F.col("_a").isNotNull(), F.sequence(F.col("_a"), F.col("_b"))).otherwise(F.array("slot"))
     facts = ("w0", "lo", "hi")
     placed = (
-        rows.unionByName(marks, allowMissingColumns=True).repartition("caseid", SEG)  # at most the slots and points of one segment
-        .select("caseid", SEG, F.explode(points).alias("slot"), *names, *facts))
+        rows.unionByName(marks, allowMissingColumns=True).repartition(tasks_for(bounds, points + recorded), "caseid", SEG)
+        .select("caseid", SEG, F.explode(each).alias("slot"), *names, *facts))
     held = placed.groupBy("caseid", SEG, "slot").agg(*[F.expr(f"max({c}) AS {c}") for c in (*names, *facts)])
     # Carry over segment borders.  The points a segment borrows from the one before
     # must not see that segment's last `before` slots, which they already hold.

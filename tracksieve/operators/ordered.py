@@ -21,6 +21,8 @@ from tracksieve.session import cut_lineage
 
 SEG = "_seg"
 SPAN = 1 << 20
+#: Rows that one task holds where few shuffled bytes become many rows.
+TASK_ROWS = 1 << 17
 
 
 def segment_of(order: str | Column, span: float) -> Column:
@@ -32,6 +34,14 @@ def segmented(df: DataFrame, order: str, span: float = SPAN) -> DataFrame:
     return df.withColumn(SEG, segment_of(order, span))
 
 
+def tasks_for(df: DataFrame, rows: int) -> int:
+    """Partitions for ``rows`` rows that come out of a shuffle, so that the rows of a task do not grow with the input.
+
+    Sizes of shuffled bytes do not tell: a mark of a few bytes may become thousands of rows.
+    """
+    return max(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")), -(-rows // TASK_ROWS))
+
+
 def balanced(df: DataFrame, keys: Sequence[str], order: str, rows: int = SPAN, cells: int = 4096, _depth: int = 0) -> DataFrame:
     """Add segments of about ``rows`` rows each, cut where the rows of a key are, for an order of any density.
 

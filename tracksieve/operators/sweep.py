@@ -15,7 +15,8 @@ from pyspark.sql import functions as F
 from tracksieve.functions.columns import candidate_id
 from tracksieve.functions.quantiles import RECORD_QUANTILES, distribution
 from tracksieve.operators.align import EPS_AGE, age
-from tracksieve.operators.ordered import SEG
+from tracksieve.operators.ordered import SEG, tasks_for
+from tracksieve.session import cut_lineage
 
 NEVER = float("inf")
 KEY = ("rule", "signal_cap", "rate_cap")
@@ -85,18 +86,19 @@ def _per_candidate(classes: DataFrame, signal_caps: Sequence[float], rate_caps:
 def sweep_counts(classes: DataFrame, cases: DataFrame, rules: Sequence[str], signal_caps: Sequence[float], rate_caps: Sequence[float]) -> DataFrame:
     """Per case and candidate: usable history, targets, windows, failures, duplicate-affected endpoints.
 
-    Cases without any endpoint keep their rows with zero counts.
+    Cases without any endpoint keep their rows with zero counts; ``cases`` holds every case of ``classes``.
     """
     cells = {"usable_history": "s AND a AND b", "usable_targets": "t", "usable_windows": "s AND a AND b AND t",
              **{f"fail_{x}": f"NOT {x}" for x in "sabt"}, "duplicate_affected": "dup"}
-    found = _per_candidate(classes, signal_caps, rate_caps).groupBy("caseid", *KEY).agg(
+    # A row without endpoints for every case and rule takes the place of a join with all candidates.
+    cases = cut_lineage(cases.select("caseid"))
+    never = {**{x: len(signal_caps) for x in ("hs", "ts", "ds")}, **{x: len(rate_caps) for x in ("ha", "hb", "dr")}}
+    empty = cases.select("caseid", F.explode(F.array(*[F.lit(r) for r in rules])).alias("rule"), *[F.lit(i).alias(x) for x, i in never.items()], F.lit(0).cast("bigint").alias("endpoints"))
+    rows = cases.count() * len(rules) * len(signal_caps) * len(rate_caps)
+    whole = classes.unionByName(empty).repartition(tasks_for(cases, rows), "caseid", "rule")
+    found = _per_candidate(whole, signal_caps, rate_caps).groupBy("caseid", *KEY).agg(
         F.sum("endpoints").alias("endpoints"), *[F.expr(f"sum(CASE WHEN {on} THEN endpoints ELSE 0 END) AS {name}") for name, on in cells.items()])
-    expected = cases.select("caseid", F.explode(F.array(*[F.lit(r) for r in rules])).alias("rule"),
-                            ).withColumn("_c", F.explode(_candidates(signal_caps, rate_caps))).select(
-        "caseid", "rule", "_c.signal_cap", "_c.rate_cap")
-    full = expected.join(found, ["caseid", *KEY], "left")
-    counts = [c for c in found.columns if c not in ("caseid", *KEY)]
-    return full.fillna(0, counts).withColumn("candidate_id", candidate_id(F.col("rule"), F.col("signal_cap"), F.col("rate_cap")))
+    return found.withColumn("candidate_id", candidate_id(F.col("rule"), F.col("signal_cap"), F.col("rate_cap")))
 
 
 def sweep_overlaps(classes: DataFrame, signal_caps: Sequence[float], rate_caps: Sequence[float]) -> DataFrame:
