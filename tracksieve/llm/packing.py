@@ -1,10 +1,12 @@
-"""Packing into bins of variable capacity: best fit decreasing on size classes, then every bin shrinks.
+"""Packing into bins of variable capacity: best fit decreasing on size classes, with the capacities chosen together.
 
 Sizes are words.  A text above the largest capacity is cut into consecutive pieces of
 that capacity and a rest; pieces joined in order give the text again.  Pieces go, by
 falling size, into the bin with the least room that still holds them, and a new bin is
-opened at the largest capacity when there is none.  At the end a bin takes the
-smallest capacity that holds its content.
+opened when there is none, at the capacity that is set for the band of the size (sizes
+that need the same smallest capacity).  All settings are planned (24 for four capacities);
+at the end of each a bin takes the smallest capacity that holds its content.  The plan taken has
+the least capacity in all; among equal ones, the fewest bins.
 
 The plan needs only the count of pieces of each size, at most the largest capacity's
 number of rows: equal pieces are placed in runs and equal bins are kept as one class.
@@ -19,6 +21,8 @@ columns pass unchanged, and input columns named like a result column are replace
 from __future__ import annotations
 
 import bisect
+from collections.abc import Mapping
+from itertools import product
 
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
@@ -33,20 +37,21 @@ ADDED = ("piece", "size", "bin", "start", "filled", "capacity")
 _WORDS = r"(?:^[\x20\x09-\x0D]+)?[^\x20\x09-\x0D]+[\x20\x09-\x0D]*"
 
 
-def plan(counts: dict[int, int], largest: int) -> list[tuple[int, int, int, int, int, int]]:
+def plan(counts: dict[int, int], opened: int | Mapping[int, int]) -> list[tuple[int, int, int, int, int, int]]:
     """Runs (size, first, rows, bin, each, start) for ``counts`` of pieces by size.
 
+    ``opened`` is the capacity of a new bin, for all or by size.
     A run puts ``rows`` pieces of ``size``, numbered from ``first``, into consecutive bins from ``bin``,
     ``each`` pieces in one, the first of them at word ``start``.
     """
     runs, bins = [], 0
-    free: dict[int, list[tuple[int, int]]] = {}  # room -> (first bin, bins)
+    free: dict[int, list[tuple[int, int, int]]] = {}  # room -> (first bin, bins, capacity)
     rooms: list[int] = []
 
-    def leave(room: int, first: int, many: int) -> None:
+    def leave(room: int, first: int, many: int, capacity: int) -> None:
         if room not in free:
             bisect.insort(rooms, room)
-        free.setdefault(room, []).append((first, many))
+        free.setdefault(room, []).append((first, many, capacity))
 
     for size in sorted((s for s in counts if s > 0), reverse=True):
         at, left = 0, counts[size]
@@ -54,22 +59,54 @@ def plan(counts: dict[int, int], largest: int) -> list[tuple[int, int, int, int,
             k = bisect.bisect_left(rooms, size)
             if k < len(rooms):
                 room = rooms[k]
-                first, many = free[room].pop()
+                first, many, capacity = free[room].pop()
                 if not free[room]:
                     del free[room], rooms[k]
             else:
-                room, first, many = largest, bins, -(-left // (largest // size))
+                capacity = opened if isinstance(opened, int) else opened[size]
+                room, first, many = capacity, bins, -(-left // (capacity // size))
                 bins += many
             each = min(room // size, left)
             used = min(many, left // each)
-            runs.append((size, at, used * each, first, each, largest - room))
+            runs.append((size, at, used * each, first, each, capacity - room))
             at, left = at + used * each, left - used * each
             if many > used:
-                leave(room, first + used, many - used)
-            leave(room - each * size, first, used)
+                leave(room, first + used, many - used, capacity)
+            leave(room - each * size, first, used, capacity)
     return runs
 
 
+def shrunk(runs: list[tuple[int, int, int, int, int, int]], capacities: tuple[int, ...]) -> tuple[int, int]:
+    """(capacity, bins) of a plan in all, with every bin at the smallest of ``capacities`` that holds it."""
+    ends = [(first, first + rows // each, start + each * size) for size, _, rows, first, each, start in runs]
+    borders = sorted({x for first, after, _ in ends for x in (first, after)})
+    place = {x: i for i, x in enumerate(borders)}
+    most = [0] * len(borders)
+    for first, after, end in ends:
+        for i in range(place[first], place[after]):
+            most[i] = max(most[i], end)
+    order, total, bins = sorted(capacities), 0, 0
+    for i, end in enumerate(most[:-1]):
+        if end:
+            many = borders[i + 1] - borders[i]
+            total, bins = total + many * order[bisect.bisect_left(order, end)], bins + many
+    return total, bins
+
+
+def best_plan(counts: dict[int, int], capacities: tuple[int, ...]) -> list[tuple[int, int, int, int, int, int]]:
+    """The plan of least capacity over all settings of the opening capacities by band; among equal ones, that of fewest bins."""
+    order = sorted(capacities)
+    sizes = [s for s in counts if s > 0]
+    band = {s: bisect.bisect_left(order, s) for s in sizes}
+    there = sorted(set(band.values()))
+    plans = []
+    for chosen in product(*[order[b:] for b in there]):
+        setting = dict(zip(there, chosen))
+        runs = plan(counts, {s: setting[band[s]] for s in sizes})
+        plans.append((*shrunk(runs, capacities), runs))
+    return min(plans, key=lambda p: p[:2])[2]
+
+
 def place(df: DataFrame, idents: list[str], text: str = "text", capacities: tuple[int, ...] = CAPACITIES) -> DataFrame:
     """(``idents``, piece, size, bin, start, filled, capacity) of every piece; ``start`` is its first word in the bin."""
     spark, largest = df.sparkSession, max(capacities)
@@ -80,7 +117,7 @@ def place(df: DataFrame, idents: list[str], text: str = "text", capacities: tupl
     cells = stored(cut.groupBy("size", "_cell").agg(F.count(F.lit(1)).alias("_n")), "cells")
     counts = {r["size"]: r["n"] for r in cells.groupBy("size").agg(F.sum("_n").alias("n")).collect()}  # at most ``largest`` + 1 rows
     by_size: dict[int, list] = {}
-    for size, *rest in plan(counts, largest):
+    for size, *rest in best_plan(counts, capacities):
         by_size.setdefault(size, []).append(tuple(rest))
     laid = spark.createDataFrame(list(by_size.items()), "size bigint, _runs array<struct<first:bigint,rows:bigint,bin:bigint,each:bigint,start:bigint>>")
     before = cells.select("size", "_cell", (F.sum("_n").over(Window.partitionBy("size").orderBy("_cell")) - F.col("_n")).alias("_before"))
