@@ -182,19 +182,22 @@ def near(a: str, b: str, least: float = LEAST) -> bool:
 def components(edges: DataFrame) -> DataFrame:
     """(_id, _group): the smallest id of the connected component of every id in (_a, _b).
 
-    Smallest neighbours are passed on and pointers are halved in rounds, until a round changes nothing.
+    In every round each id takes the smallest one next to it as its head, heads are followed twice, and edges
+    are replaced by those between heads, without those inside one, until none is left.
     """
-    both = stored(edges.select("_a", "_b").union(edges.select("_b", "_a")).distinct(), "edges")
-    groups = stored(both.groupBy(F.col("_a").alias("_id")).agg(F.min(F.least("_a", "_b")).alias("_group")), "groups")
+    left = stored(edges.select("_a", "_b").union(edges.select("_b", "_a")).distinct(), "edges")
+    groups = left.select(F.col("_a").alias("_id"), F.col("_a").alias("_group")).distinct()
     while True:
-        passed = both.join(groups, both["_b"] == groups["_id"]).groupBy("_a").agg(F.min("_group").alias("_near"))
-        step = groups.join(passed, groups["_id"] == passed["_a"]).select("_id", F.col("_group").alias("_old"), F.least("_group", "_near").alias("_new"))
-        heads = groups.select(F.col("_id").alias("_head"), F.col("_group").alias("_far"))
-        step = step.join(heads, step["_new"] == heads["_head"], "left").select("_id", "_old", F.least("_new", F.coalesce("_far", "_new")).alias("_group"))
-        step = stored(step, "groups")
-        if step.filter(F.col("_old") != F.col("_group")).isEmpty():
-            return step.select("_id", "_group")
-        groups = step.select("_id", "_group")
+        heads = stored(left.groupBy(F.col("_a").alias("_from")).agg(F.min(F.least("_a", "_b")).alias("_to")), "heads")
+        for _ in range(2):
+            over = heads.select(F.col("_from").alias("_to"), F.col("_to").alias("_far"))
+            heads = stored(heads.join(over, "_to").select("_from", F.col("_far").alias("_to")), "heads")
+        groups = stored(groups.join(heads, groups["_group"] == heads["_from"], "left").select("_id", F.coalesce("_to", "_group").alias("_group")), "groups")
+        moved = left.join(heads.select(F.col("_from").alias("_a"), F.col("_to").alias("_x")), "_a").join(
+            heads.select(F.col("_from").alias("_b"), F.col("_to").alias("_y")), "_b")
+        left = stored(moved.filter(F.col("_x") != F.col("_y")).select(F.col("_x").alias("_a"), F.col("_y").alias("_b")).distinct(), "edges")
+        if left.isEmpty():
+            return groups
 
 
 def runs(rows: DataFrame, kind: str) -> DataFrame:
@@ -350,6 +353,16 @@ def candidates(met: DataFrame, info: DataFrame, asked: DataFrame | None, kind: s
     return stored(one.mapInPandas(meet, schema).union(two.mapInPandas(meet, schema)), "met")
 
 
+def joined_groups(groups: DataFrame, links: DataFrame) -> DataFrame:
+    """``groups`` with those made one that ``links`` join; ids without a group are their own."""
+    of = {c: groups.select(F.col("_id").alias(c), F.col("_group").alias("_of" + c)) for c in ("_a", "_b")}
+    between = links.join(of["_a"], "_a", "left").join(of["_b"], "_b", "left").select(
+        F.coalesce("_of_a", "_a").alias("_a"), F.coalesce("_of_b", "_b").alias("_b")).filter(F.col("_a") != F.col("_b"))
+    merged = components(between).select(F.col("_id").alias("_head"), F.col("_group").alias("_to"))
+    whole = groups.join(merged, groups["_group"] == merged["_head"], "full_outer")
+    return stored(whole.select(F.coalesce("_id", "_head").alias("_id"), F.coalesce("_to", "_group").alias("_group")).distinct(), "groups")
+
+
 def detailed(rows: DataFrame, wanted: DataFrame, kind: str) -> DataFrame:
     """(_id, _n, _bits) with signatures that hardly two words share a bit in, for the few texts left in the last round."""
     def wide(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -365,7 +378,7 @@ def near_pairs(rows: DataFrame, single: DataFrame, kind: str, least: float) -> D
     A round aligns what the blocks propose and joins classes.  A block with few proposals is done after one round; in the
     others, mostly of near copies, a text first meets its closest one, and the last round all texts that are still in another class.
     """
-    met, asked, links, tested, groups = runs(single, kind), None, None, None, None
+    met, asked, tested, groups = runs(single, kind), None, None, None
     info = single.select("_id", "_n", "_bits")
     for turn in range(ROUNDS):
         if turn == ROUNDS - 1:
@@ -375,8 +388,8 @@ def near_pairs(rows: DataFrame, single: DataFrame, kind: str, least: float) -> D
         pairs = found.filter(F.col("_a").isNotNull()).select(F.greatest("_a", "_b").alias("_a"), F.least("_a", "_b").alias("_b")).distinct()
         pairs = stored(pairs if tested is None else pairs.join(tested, ["_a", "_b"], "left_anti"), "pairs")
         near = stored(aligned(rows, pairs, kind, least), "near")
-        links, tested = near if links is None else links.union(near), pairs if tested is None else tested.union(pairs)
-        groups = components(links)
+        tested = pairs if tested is None else tested.union(pairs)
+        groups = components(near) if groups is None else joined_groups(groups, near)
         asked = found.filter(F.col("_a").isNull()).select("_s", "_block", "_other")
         if asked.isEmpty():
             break
@@ -385,7 +398,8 @@ def near_pairs(rows: DataFrame, single: DataFrame, kind: str, least: float) -> D
 
 def aligned(rows: DataFrame, pairs: DataFrame, kind: str, least: float) -> DataFrame:
     """The rows of ``pairs`` whose texts are near."""
-    wanted = pairs.select(F.explode(F.array("_a", "_b")).alias("_id")).distinct()
+    # written, so its size is known before any words move
+    wanted = stored(pairs.select(F.explode(F.array("_a", "_b")).alias("_id")).distinct(), "wanted")
     needed = stored(rows.select("_id", "_words").join(wanted, "_id", "left_semi"), "words")
     joined = pairs.join(needed.select(F.col("_id").alias("_a"), F.col("_words").alias("_x")), "_a").join(
         needed.select(F.col("_id").alias("_b"), F.col("_words").alias("_y")), "_b").select("_a", "_b", "_x", "_y")
