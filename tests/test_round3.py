@@ -4,7 +4,8 @@ import os
 import re
 import shutil
 
-from tracksieve.operators import align, sequence as sq, statistics as st, sweep
+from tracksieve import session
+from tracksieve.operators import align, ordered, sequence as sq, statistics as st, sweep
 from tracksieve.operators.ordered import TASK_ROWS
 from tracksieve.plans import fixtures as fx, integrity_plans as ip
 from tracksieve.streaming import streams
@@ -74,3 +75,28 @@ def test_sweep_counts_of_a_case_without_endpoints_are_zero(spark):
     assert "Join" not in got._jdf.queryExecution().optimizedPlan().toString()
     rows = {(r.caseid, r.rule, r.rate_cap): (r.endpoints, r.usable_windows, r.fail_a, r.fail_t) for r in got.collect()}
     assert rows == {(1, "x", 20): (8, 3, 5, 5), (1, "x", 30): (8, 3, 0, 5), **{(c, r, cap): (0, 0, 0, 0) for c, r in ((1, "y"), (2, "x"), (2, "y")) for cap in (20, 30)}}
+
+
+def test_aggregates_of_recorded_rows_have_tasks_by_their_rows(spark, monkeypatch):
+    monkeypatch.setattr(ordered, "TASK_ROWS", 10)
+    before = {k: spark.conf.get(k) for k in ("spark.sql.shuffle.partitions", "spark.sql.adaptive.coalescePartitions.enabled")}
+    written = []
+    monkeypatch.setattr(align, "cut_lineage", lambda df: written.append(session.cut_lineage(df)) or written[-1])
+    rows = [(c, x, i, float(i), 1.0) for c in range(4) for x in "SR" for i in range(100)]
+    signal = spark.createDataFrame(rows, "caseid bigint, track string, seq bigint, t double, v double")
+    cases = spark.createDataFrame([(c, 0.0, 99.0) for c in range(4)], "caseid bigint, w0 double, w1 double")
+    got = align.align_study(signal, cases, ("S", "R"), (align.Lookup("s", "S"),), 1.0)
+    slots = next(df for df in written if "s" in df.columns)
+    assert len(slots.inputFiles()) > 3 * int(before["spark.sql.shuffle.partitions"])
+    assert {k: spark.conf.get(k) for k in before} == before
+    assert sorted((r.caseid, r.k, r.s.t) for r in got.collect()) == [(c, i, float(i)) for c in range(4) for i in range(100)]
+
+
+def test_classes_of_a_grid_need_no_shuffle_of_their_own(spark):
+    bounds = spark.createDataFrame([(1, 0.0, 20.0, 0, 20)], "caseid bigint, w0 double, w1 double, lo bigint, hi bigint")
+    signal = spark.createDataFrame([(1, n, i, float(i), 1.0) for i, n in enumerate("SAB")], "caseid bigint, track string, seq bigint, t double, v double")
+    grid = align.align_grid(signal, bounds, [align.Lookup(n, n) for n in "SAB"], 1.0, before=1, after=1, span=4)
+    classes = sweep.endpoint_classes(grid, ("S",), ("A", "B"), (5,), (5,), 2, 1)
+    shuffles = [df._jdf.queryExecution().executedPlan().toString().count("Exchange hashpartitioning") for df in (grid, classes)]
+    assert shuffles[0] == shuffles[1]
+    assert sum(r.endpoints for r in classes.collect()) == 19

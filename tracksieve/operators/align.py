@@ -18,7 +18,7 @@ from pyspark.sql import functions as F
 
 from tracksieve.functions.columns import is_finite
 from tracksieve.operators.ordered import SEG, SPAN, balanced, dense_rows, last_known, segment_of, spread_join, tasks_for
-from tracksieve.session import cut_lineage
+from tracksieve.session import cut_lineage, shuffled_into
 
 GRID_SPAN = 4096
 EPS_GRID = 1e-12
@@ -175,7 +175,9 @@ def align_study(
     before: int = 0, after: int = 0, span: int = GRID_SPAN,
 ) -> DataFrame:
     """``align_grid`` on the grid of the primary tracks' common span; the recorded rows are scanned once for both."""
-    table = cut_lineage(slot_table(signal, cases, lookups, step, primary))
+    cases = cut_lineage(cases)  # known in size before the setting below: it is an aggregate of the signal itself in some studies
+    with shuffled_into(signal.sparkSession, tasks_for(signal, signal.count())):
+        table = cut_lineage(slot_table(signal, cases, lookups, step, primary))
     per = table.groupBy("caseid").agg(*[a for i in range(len(primary)) for a in (
         F.min_by(f"_f{i}", f"_fs{i}").alias(f"_f{i}"), F.max_by(f"_l{i}", f"_ls{i}").alias(f"_l{i}"))])
     bounds = grid_bounds(_spans(per, cases, primary), step)

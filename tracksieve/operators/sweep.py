@@ -46,7 +46,7 @@ def endpoint_classes(
     aligned: DataFrame, rules: Sequence[str], rates: tuple[str, str],
     signal_caps: Sequence[float], rate_caps: Sequence[float], history: int, target: int,
 ) -> DataFrame:
-    """(caseid, rule, hs, ha, hb, ts, ds, dr, endpoints): endpoints collapsed by cap class.
+    """(caseid, rule, hs, ha, hb, ts, ds, dr, endpoints): endpoints of every grid segment of a case, collapsed by cap class.
 
     hs/ha/hb: worst class over the history of signal and rates; ts: class of the
     target; ds/dr: best class of a duplicate-derived usable point.
@@ -57,7 +57,7 @@ def endpoint_classes(
     base = aligned.selectExpr("caseid", SEG, "slot", "k", "n", "_home", *[
         f"{c} AS {p}{x}" for x in (*rules, *rates) for p, c in zip(("a_", "d_"), _ages(x, x in rates))])
     framed = base.selectExpr(
-        "caseid", "k", "n", "_home", *[f"max(a_{x}) {back} AS h_{x}" for x in (*rules, *rates)], *[f"min(d_{x}) {back} AS m_{x}" for x in (*rules, *rates)],
+        "caseid", SEG, "k", "n", "_home", *[f"max(a_{x}) {back} AS h_{x}" for x in (*rules, *rates)], *[f"min(d_{x}) {back} AS m_{x}" for x in (*rules, *rates)],
         *[f"lead({p}{x}, {target}) {ahead} AS t{p}{x}" for x in rules for p in ("a_", "d_")])
     ends = framed.where(f"_home AND k >= {history - 1} AND k < n - {target}")
     a, b = rates
@@ -66,8 +66,9 @@ def endpoint_classes(
         f"named_struct('rule', '{x}', 'hs', {_cap_class(f'h_{x}', signal_caps)}, 'ts', {_cap_class(f'ta_{x}', signal_caps)}, "
         f"'ds', {_cap_class(f'least(m_{x}, td_{x})', signal_caps)})" for x in rules)
     return (
-        ends.selectExpr("caseid", *[f"{_cap_class(c, caps)} AS {n}" for n, (c, caps) in shared.items()], f"explode(array({per_rule})) AS _r")
-        .groupBy("caseid", "_r.rule", "_r.hs", "ha", "hb", "_r.ts", "_r.ds", "dr").agg(F.count(F.lit(1)).alias("endpoints")))
+        ends.selectExpr("caseid", SEG, *[f"{_cap_class(c, caps)} AS {n}" for n, (c, caps) in shared.items()], f"explode(array({per_rule})) AS _r")
+        # The grid lies by case and segment already, so no shuffle follows; the readers add the segments up.
+        .groupBy("caseid", SEG, "_r.rule", "_r.hs", "ha", "hb", "_r.ts", "_r.ds", "dr").agg(F.count(F.lit(1)).alias("endpoints")).drop(SEG))
 
 
 def _candidates(signal_caps: Sequence[float], rate_caps: Sequence[float]) -> Column:
