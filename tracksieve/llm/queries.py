@@ -6,13 +6,14 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tracksieve.llm import line_dedup, mixing, near_dedup, packing, prefix_trie, quality_rules, sharding, token_counts, vector_codes
+from tracksieve.llm import language_id, line_dedup, mixing, near_dedup, packing, prefix_trie, quality_rules, sharding, token_counts, vector_codes
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_sharding": sharding.op1_sharding,
     "op3_line_dedup": line_dedup.op3_line_dedup,
     "op4_quality_rules": quality_rules.op4_quality_rules,
     "op5_near_dedup": near_dedup.op5_near_dedup,
+    "op6_language_id": language_id.op6_language_id,
     "op7_mixing": mixing.op7_mixing,
     "op10_packing": packing.op10_packing,
     "op11_token_counts": token_counts.op11_token_counts,
