@@ -6,10 +6,11 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tracksieve.llm import language_id, line_dedup, mixing, near_dedup, packing, prefix_trie, quality_rules, sharding, token_counts, vector_codes, weak_quality
+from tracksieve.llm import language_id, line_dedup, mixing, near_dedup, packing, prefix_trie, quality_rules, sharding, token_counts, vector_codes, vector_search, weak_quality
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_sharding": sharding.op1_sharding,
+    "op2_vector_search": vector_search.op2_vector_search,
     "op3_line_dedup": line_dedup.op3_line_dedup,
     "op4_quality_rules": quality_rules.op4_quality_rules,
     "op5_near_dedup": near_dedup.op5_near_dedup,
