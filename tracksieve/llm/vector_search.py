@@ -136,7 +136,7 @@ class Layout:
     parts: list[np.ndarray]
 
 
-def layout(found: list[tuple[int, int, int]], tables: int, rows: int = ROWS) -> Layout:
+def layout(found: list[tuple[int, int, int]], tables: int, rows: int) -> Layout:
     """Neighbouring buckets share a shard up to ``rows`` rows; a larger one has shards of its own."""
     out, shard = Layout([], [], [], []), 0
     for t in range(tables):
@@ -250,7 +250,7 @@ def vector_search(df: DataFrame, ident: str = "vec_id", vector: str = "embedding
     kinds = dict(index.dtypes)
     placed = index.mapInArrow(hashed, f"table int, bucket long, key long, vector {kinds['vector']}, ids {kinds['ids']}")
     # One number for each bucket in use; their number is bounded by the functions.
-    shape = layout([tuple(r) for r in placed.groupBy("table", "bucket").count().collect()], tables)
+    shape = layout([tuple(r) for r in placed.groupBy("table", "bucket").count().collect()], tables, ROWS)
     asking = rows.where(F.col("id") % every == 0)
     blocks = -(-asking.count() // BLOCK)
     if not blocks:
