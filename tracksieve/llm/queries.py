@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tracksieve.llm import language_id, line_dedup, mixing, near_dedup, packing, prefix_trie, quality_rules, sharding, token_counts, vector_codes, vector_search, weak_quality
+from tracksieve.llm import language_id, line_dedup, mixing, near_dedup, packing, prefix_trie, quality_rules, repeated_passages, sharding, token_counts, vector_codes, vector_search, weak_quality
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_sharding": sharding.op1_sharding,
@@ -16,6 +16,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op5_near_dedup": near_dedup.op5_near_dedup,
     "op6_language_id": language_id.op6_language_id,
     "op7_mixing": mixing.op7_mixing,
+    "op8_repeated_passages": repeated_passages.op8_repeated_passages,
     "op9_weak_quality": weak_quality.op9_weak_quality,
     "op10_packing": packing.op10_packing,
     "op11_token_counts": token_counts.op11_token_counts,
