@@ -100,3 +100,18 @@ def test_classes_of_a_grid_need_no_shuffle_of_their_own(spark):
     shuffles = [df._jdf.queryExecution().executedPlan().toString().count("Exchange hashpartitioning") for df in (grid, classes)]
     assert shuffles[0] == shuffles[1]
     assert sum(r.endpoints for r in classes.collect()) == 19
+
+
+def test_joins_of_scenarios_and_counts_have_tasks_by_the_counts(spark, monkeypatch):
+    monkeypatch.setattr(ordered, "TASK_ROWS", 10)
+    cases = 10 * int(spark.conf.get("spark.sql.shuffle.partitions"))
+    counts = spark.createDataFrame([(c, x, c % 7) for c in range(cases) for x in "ab"], "caseid bigint, candidate_id string, usable_windows bigint")
+    scenarios = spark.createDataFrame([(c, "s", c % 2 == 0, [] if c % 2 == 0 else ["odd"]) for c in range(cases)], "caseid bigint, scenario string, passes boolean, reasons array<string>")
+    confusion, reasons = (f(scenarios, counts, (3,)) for f in (sweep.scenario_confusion, sweep.reasons_among_fail_but_meets))
+    for df in (confusion, reasons):
+        plan = df._jdf.queryExecution().optimizedPlan().toString()
+        assert set(re.findall(r"RepartitionByExpression \[caseid#\d+L?\], (\d+)", plan)) == {str(cases * 2 // 10)}
+    even, odd = ([c % 7 for c in range(cases) if c % 2 == k] for k in (0, 1))
+    cells = (even.count(0), sum(w < 3 for w in even), sum(w >= 3 for w in odd), sum(w >= 3 for w in even), sum(w < 3 for w in odd))
+    assert sorted(map(tuple, confusion.collect())) == [("s", x, cells[0], 3, *cells[1:]) for x in "ab"]
+    assert sorted(map(tuple, reasons.collect())) == [("s", x, "odd", 3, cells[2]) for x in "ab"]

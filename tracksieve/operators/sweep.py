@@ -197,13 +197,20 @@ def candidate_masks(counts: DataFrame, candidates: Sequence[str]) -> DataFrame:
     return per.groupBy(F.array(*[f"_{w}" for w in range(_words(len(candidates)))]).alias("mask")).agg(F.count(F.lit(1)).alias("cases"))
 
 
+def _by_case(scenarios: DataFrame, counts: DataFrame) -> DataFrame:
+    """Counts joined with the scenario rows of their case, in tasks by the rows of the counts."""
+    held = cut_lineage(counts.select("caseid", "candidate_id", "usable_windows"))
+    tasks = tasks_for(held, held.count())
+    return held.repartition(tasks, "caseid").join(scenarios.repartition(tasks, "caseid"), "caseid")
+
+
 def scenario_confusion(scenarios: DataFrame, counts: DataFrame, minimums: Sequence[int]) -> DataFrame:
     """Scenario verdict against window minimum per candidate: the four cells and pass-but-zero-window.
 
     ``scenarios`` is (caseid, scenario, passes, reasons); both sides have a fixed
     number of rows per case, so the join stays linear in cases.
     """
-    j = counts.select("caseid", "candidate_id", "usable_windows").join(scenarios.select("caseid", "scenario", "passes"), "caseid")
+    j = _by_case(scenarios.select("caseid", "scenario", "passes"), counts)
     p, w = F.col("passes"), F.col("usable_windows")
     per = j.groupBy("scenario", "candidate_id").agg(
         F.count_if(p & (w == 0)).alias("pass_but_zero"), F.array(*[F.struct(
@@ -217,7 +224,7 @@ def scenario_confusion(scenarios: DataFrame, counts: DataFrame, minimums: Sequen
 def reasons_among_fail_but_meets(scenarios: DataFrame, counts: DataFrame, minimums: Sequence[int]) -> DataFrame:
     """Failure reasons of the cases a scenario rejects although the candidate meets the minimum."""
     w = F.col("usable_windows")
-    j = counts.select("caseid", "candidate_id", "usable_windows").join(scenarios.where(~F.col("passes")), "caseid")
+    j = _by_case(scenarios.where(~F.col("passes")), counts)
     per = j.select("scenario", "candidate_id", "usable_windows", F.explode("reasons").alias("reason")).groupBy(
         "scenario", "candidate_id", "reason").agg(F.array(*[
             F.struct(F.lit(m).cast("bigint").alias("minimum"), F.count_if(w >= m).alias("cases")) for m in minimums]).alias("_m"))
